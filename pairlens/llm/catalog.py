@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pairlens.llm import record_queries, split_queries, text_queries
+from pairlens.llm import record_queries, split_queries, text_queries, vector_queries
 
-MODULES = (record_queries, split_queries, text_queries)
+MODULES = (record_queries, split_queries, text_queries, vector_queries)
 
 
 def queries() -> dict:
