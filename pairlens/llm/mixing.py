@@ -13,7 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,14 +64,14 @@ def count_tokens(encode, text: str | None) -> int:
 def token_counts(documents: DataFrame, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, n_tokens`` of every document."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(directory, vocabulary).encode_ordinary
-        for pdf in batches:
-            pdf["n_tokens"] = [count_tokens(encode, t) for t in pdf.pop("text")]
-            yield pdf
+        for batch in batches:
+            n = [count_tokens(encode, t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])
 
-    narrow = documents.select(F.col("doc_id").cast("bigint"), "source", "text")
-    return narrow.mapInPandas(count, "doc_id bigint, source string, n_tokens bigint")
+    narrow = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), "text")
+    return narrow.mapInArrow(count, "doc_id bigint, source string, n_tokens bigint")
 
 
 def source_rates(counts: DataFrame, weights: DataFrame, total_tokens: float | None = None) -> DataFrame:

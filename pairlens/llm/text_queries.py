@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.llm import leakage, mixing
+from pairlens.llm import leakage, mixing, pii
 from pairlens.plans import WorkTables
 from pairlens.sources import table
 
@@ -28,8 +28,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_weights"), WorkTables(spark, "mix"))[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans, _, _ = pii.find_personal(table(spark, sf_dir, "documents"), WorkTables(spark, "personal"))
+    return spans.select("doc_id", "kind", "found_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with typed placeholders."""
+    documents = table(spark, sf_dir, "documents")
+    _, names, accepted = pii.find_personal(documents, WorkTables(spark, "personal"))
+    return pii.redact(documents, names, accepted)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found, p7_leak_report, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p7_found, p7_leak_report, p8_mix, p8_shares, p9_found, p9_redacted)}
 
 
 _RUNS = r"""
