@@ -28,12 +28,17 @@ def side_effect_code(col: Column) -> Column:
 
 
 def canonical_text(cols: list[Column]) -> Column:
-    """The cleaned values in ascending order, joined by ``|``; null if any is missing.
+    """The cleaned values in ascending order, joined by ``|``; never null.
 
-    Cleaned values hold no ``|``, so equal texts mean equal values in some order.
+    Cleaned values hold no ``|``, so equal texts mean equal values in some order.  A missing
+    value is empty and sorts first, so the text of an incomplete record starts with ``|``
+    (or is empty, for one column).  Being never null, the text is worked out once: no null
+    filter over it is inferred and pushed below it.
     """
-    cleaned = [clean_value(c) for c in cols]
-    present = cleaned[0].isNotNull()
-    for c in cleaned[1:]:
-        present = present & c.isNotNull()
-    return F.when(present, F.array_join(F.array_sort(F.array(*cleaned)), "|"))
+    raw = F.array(*(F.coalesce(c, F.lit("")) for c in cols))
+    return F.array_join(F.sort_array(F.transform(raw, lambda x: F.regexp_replace(F.upper(x), "[^A-Z0-9]", ""))), "|")
+
+
+def is_complete(text: Column) -> Column:
+    """Whether a canonical text has all its values."""
+    return ~(text.startswith("|") | (text == ""))
