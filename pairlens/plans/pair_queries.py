@@ -89,7 +89,7 @@ def _pair_summary(spark, sf_dir, name):
     pairs = _labelled(spark, sf_dir).select("relation", "drug_1", "drug_2")
     f = pairops.pair_features(pairs, g.drug_vectors(spark, sf_dir, METHOD), name)
     total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
-    return f.select("relation", "drug_1", "drug_2", F.size("features").cast("bigint").alias("width"), F.round(total, 4).alias("total"), F.round(F.array_max("features"), 6).alias("largest"), F.round(F.element_at("features", -1), 6).alias("last"))
+    return f.select("relation", "drug_1", "drug_2", F.size("features").cast("bigint").alias("width"), (F.round(total, 4) + 0.0).alias("total"), (F.round(F.array_max("features"), 6) + 0.0).alias("largest"), (F.round(F.element_at("features", -1), 6) + 0.0).alias("last"))
 
 
 def compare_operators(spark, sf_dir):
@@ -120,7 +120,7 @@ def _scores(spark, sf_dir, kind):
         "trivec": pairops.dot(a, w, b2) + pairops.dot(a2, w2, b2) + pairops.dot(a2, w, b),
         "bilinear": pairops.dot(pairops.hadamard(a, w), pairops.hadamard(b, w2)),
     }[kind]
-    return j.select("relation", "drug_1", "drug_2", F.round(score, 6).alias("score"))
+    return j.select("relation", "drug_1", "drug_2", (F.round(score, 6) + 0.0).alias("score"))
 
 
 def feature_modes(spark, sf_dir):
@@ -197,7 +197,7 @@ _VEC = f"v AS (SELECT drug, vector FROM vecs WHERE method = '{METHOD}'), ab AS (
 
 
 def _summary(name: str) -> str:
-    return f"SELECT relation, drug_1, drug_2, len(f) AS width, round(list_sum(f), 4) AS total, round(list_max(f), 6) AS largest, round(f[-1], 6) AS last FROM (SELECT *, {_ELEM[name]} AS f FROM ab)"
+    return f"SELECT relation, drug_1, drug_2, len(f) AS width, round(list_sum(f), 4) + 0e0 AS total, round(list_max(f), 6) + 0e0 AS largest, round(f[-1], 6) + 0e0 AS last FROM (SELECT *, {_ELEM[name]} AS f FROM ab)"
 
 
 def _dot3(a: str, w: str, b: str) -> str:
@@ -255,5 +255,5 @@ def oracle_sql() -> dict[str, str]:
     out["negative_known_pct"] = f"SELECT * FROM ({with_views('triples', _RANDOM + ' ' + known.format('random'))}) UNION ALL SELECT * FROM ({with_views('triples', _STRUCTURED + ' ' + known.format('structured'))})"
     out |= {f"split_{s}": with_views("recs", f"{_LAB}, {_SPLITS[s]} SELECT * FROM s_{s}") for s in _SPLITS}
     out |= {f"pair_{n}": with_views("recs vecs", f"{_LAB}, {_VEC} {_summary(n)}") for n in pairops.OPERATORS}
-    out |= {f"score_{k}": with_views("recs vecs", f"{_LAB}, {_VEC}, {relation} SELECT relation, drug_1, drug_2, round({sql}, 6) AS score FROM ab JOIN rw USING (relation)") for k, sql in scores.items()}
+    out |= {f"score_{k}": with_views("recs vecs", f"{_LAB}, {_VEC}, {relation} SELECT relation, drug_1, drug_2, round({sql}, 6) + 0e0 AS score FROM ab JOIN rw USING (relation)") for k, sql in scores.items()}
     return out
