@@ -13,7 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlens.functions import canonical_text
+from pairlens.functions import canonical_text, is_complete
+from pairlens.plans import WorkTables
 
 
 def _raw(df: DataFrame, fields: Sequence[str], id_col: str) -> DataFrame:
@@ -31,22 +32,22 @@ def collapse_copies(df: DataFrame, fields: Sequence[str], id_col: str = "row_id"
     columns of any name do no harm.
     """
     names = [f"f{i}" for i in range(len(fields))]
-    raw = _raw(df, fields, id_col).dropna(subset=names)
+    raw = _raw(df, fields, id_col)
     survivors = raw.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("lo"), F.max("row_id").alias("hi"))
     canonical = survivors.select(canonical_text([F.col(n) for n in names]).alias("record"), "n", "lo", "hi")
     return (
-        canonical.filter(F.col("record").isNotNull())
-        .groupBy("record")
+        canonical.groupBy("record")
         .agg(
-            F.sum("n").alias("copies"),
+            F.sum(F.when(is_complete(F.col("record")), F.col("n"))).alias("copies"),  # null where incomplete: no filter on the text itself
             F.count(F.lit(1)).alias("spellings"),
             F.min("lo").alias("first_row_id"),
             F.max("hi").alias("last_row_id"),
         )
+        .filter("copies > 0")
     )
 
 
-def copies_of_records(df: DataFrame, fields: Sequence[str], id_col: str = "row_id") -> DataFrame:
+def copies_of_records(df: DataFrame, fields: Sequence[str], tables: WorkTables, id_col: str = "row_id") -> DataFrame:
     """``first_row_id, row_id``: every row of a record but its first, with the first.
 
     A record of two rows is complete in its aggregate (its smallest and largest id), so only
@@ -54,9 +55,9 @@ def copies_of_records(df: DataFrame, fields: Sequence[str], id_col: str = "row_i
     join is an ordinary equi-join on the canonical text, whose hot keys adaptive execution
     splits.  Ids must be unique; rows with a null id are left out.
     """
-    records = collapse_copies(df, fields, id_col).filter(F.col("copies") > 1)
+    records = tables.save(collapse_copies(df, fields, id_col).filter("copies > 1"), "records")
     pairs = records.filter((F.col("copies") == 2) & (F.col("first_row_id") < F.col("last_row_id"))).select("first_row_id", F.col("last_row_id").alias("row_id"))
     names = [f"f{i}" for i in range(len(fields))]
-    rows = _raw(df, fields, id_col).select("row_id", canonical_text([F.col(n) for n in names]).alias("record")).dropna()
+    rows = _raw(df, fields, id_col).select("row_id", canonical_text([F.col(n) for n in names]).alias("record"))
     more = rows.join(records.filter(F.col("copies") > 2).select("record", "first_row_id"), "record").filter(F.col("row_id") > F.col("first_row_id")).select("first_row_id", "row_id")
     return pairs.unionByName(more)

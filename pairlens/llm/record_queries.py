@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlens.functions import canonical_text, drug_id
+from pairlens.functions import canonical_text, drug_id, is_complete
 from pairlens.llm import cooccurrence, copies, entity_splits
 from pairlens.plans import WorkTables
 from pairlens.sources import table
@@ -15,7 +15,7 @@ SHARES = {"train": 0.70, "val": 0.10, "test": 0.20}
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies.copies_of_records(table(spark, sf_dir, "combo"), FIELDS)
+    return copies.copies_of_records(table(spark, sf_dir, "combo"), FIELDS, WorkTables(spark, "copies"))
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
