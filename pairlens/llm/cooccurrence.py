@@ -122,6 +122,7 @@ def _gram_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return starts.size - 1
 
     for batch in batches:
+        batch = batch.filter(pc.and_(pc.is_valid(batch.column("basket")), pc.is_valid(batch.column("item"))))
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
@@ -149,7 +150,7 @@ def gram_counts(baskets: DataFrame, basket: str, item: str) -> DataFrame:
     once; rows with a null basket or item are left out; an empty table gives no rows.
     Memory of a task is bounded by the accumulators and by one basket's distinct items.
     """
-    entries = baskets.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item")).dropna().distinct()
+    entries = baskets.select(F.col(basket).cast("string").alias("basket"), F.col(item).cast("string").alias("item")).distinct()  # nulls, few by now, are dropped in the task
     cells = entries.repartition("basket").sortWithinPartitions("basket", "item").mapInArrow(_gram_cells, "item_1 string, item_2 string, n bigint")
     return cells.groupBy("item_1", "item_2").agg(F.sum("n").alias("n"))
 

@@ -27,8 +27,8 @@ def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     In the canonical text the side-effect code comes first (digits sort before letters).
     """
-    record = canonical_text([F.col(f"`{f}`") for f in FIELDS])
-    entry = table(spark, sf_dir, "combo").select(F.split(record, r"\|", 2).alias("r"))
+    text = table(spark, sf_dir, "combo").select(canonical_text([F.col(f"`{f}`") for f in FIELDS]).alias("record"))
+    entry = text.select(F.when(is_complete(F.col("record")), F.split("record", r"\|", 2)).alias("r"))
     baskets = entry.select(F.col("r")[1].alias("pair"), F.col("r")[0].alias("side_effect"))
     return WorkTables(spark, "gram").save(cooccurrence.gram_counts(baskets, "pair", "side_effect"), "gram")
 
