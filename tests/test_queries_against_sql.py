@@ -1,0 +1,16 @@
+"""Every query of the core that has SQL gives the SQL's rows at the smallest scale."""
+
+import pytest
+
+from pairlens.plans import catalog
+
+SQL = catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_matches_sql(name, same_rows):
+    same_rows(catalog.queries()[name], SQL[name])
+
+
+def test_every_sql_has_its_query():
+    assert set(SQL) <= set(catalog.queries())
