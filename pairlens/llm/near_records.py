@@ -2,8 +2,8 @@
 
 A record is a cyclic text of its cleaned values.  Two cyclic texts that differ by one
 inserted, dropped or replaced character share a run of all characters but that one, so
-winnowing with ``k + w = M`` (M: the longer text's length) finds every such pair, while
-fingerprints leave open at most ``w`` characters and stay selective for hot values.  Exact
+winnowing with ``k + w <= M`` (M: the longer text's length) finds every such pair, while
+k-grams of nearly the whole text stay selective for hot values.  Exact
 copies are collapsed before, so a record that fills a third of a split is one text.
 Common fingerprints are chained when they lie on one diagonal; chained pairs are aligned
 exactly, and coverage is reported per record and source.
@@ -21,19 +21,24 @@ from pyspark.sql import functions as F
 from pairlens.functions import clean_value
 from pairlens.llm.winnow import gram_hashes, window_minima
 
-#: Hashes per winnowing window, for texts of at least three times as many characters.
-WINDOW = 4
+#: Lengths of cyclic texts that share one k: from a multiple of STEP less 6 on.  The shortest
+#: text of a step has windows of WINDOW hashes; texts under SHORT characters have k = M - 1.
+STEP, WINDOW, SHORT = 8, 4, 18
 
 
-def _window(m: int) -> int:
-    return WINDOW if m >= 3 * WINDOW else 1
+def _k(m: int) -> int:
+    """k for pairs whose longer text has m characters."""
+    return m - 1 if m < SHORT else (m + 6) // STEP * STEP - 6 - WINDOW
 
 
 def _cyclic_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_id, scope, text) to (text_id, scope, m, h, at) for m = length and length + 1."""
+    """(text_id, scope, text) to (text_id, scope, k, h, at, size), for partners up to one character longer.
+
+    Windows of ``size - k`` hashes suit partners of equal length and, where k is the same,
+    longer ones; where a longer partner has another k, fingerprints for that k are added.
+    """
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        raw = [t.encode() for t in texts]
+        raw = [t.encode() for t in batch.column("text").to_pylist()]
         length = np.array([len(t) for t in raw])
         parts = []
         for size in np.unique(length):
@@ -41,9 +46,7 @@ def _cyclic_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             rows = np.flatnonzero(length == size)
             chars = np.frombuffer(b"".join(raw[r] for r in rows), dtype=np.uint8).reshape(rows.size, size)
             cycle = np.concatenate([chars, chars], axis=1).astype(np.uint64) + np.uint64(1)
-            for m in (size, size + 1):
-                w = _window(m)
-                k = m - w
+            for k, w in {_k(m): m - _k(m) for m in (size + 1, size)}.items():
                 if k < 1 or k > size:
                     continue
                 h = gram_hashes(cycle[:, : size + k - 1], k)  # one hash for each of the places
@@ -51,11 +54,11 @@ def _cyclic_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 kept = np.zeros((rows.size, size), dtype=bool)
                 np.put_along_axis(kept, at, True, axis=1)
                 r, place = np.nonzero(kept)
-                parts.append((rows[r], np.full(r.size, m, dtype=np.int32), h[r, place].view(np.int64), place.astype(np.int32)))
+                parts.append((rows[r], np.full(r.size, k, dtype=np.int32), h[r, place].view(np.int64), place.astype(np.int32), np.full(r.size, size, dtype=np.int32)))
         if parts:
-            r, m, h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+            r, k, h, at, size = (np.concatenate(x) for x in zip(*parts, strict=True))
             take = pa.array(r)
-            yield pa.record_batch([batch.column("text_id").take(take), batch.column("scope").take(take), pa.array(m), pa.array(h), pa.array(at)], names=["text_id", "scope", "m", "h", "at"])
+            yield pa.record_batch([batch.column("text_id").take(take), batch.column("scope").take(take), pa.array(k), pa.array(h), pa.array(at), pa.array(size)], names=["text_id", "scope", "k", "h", "at", "size"])
 
 
 def distinct_records(rows: DataFrame, id_col: str, fields: tuple[str, str, str], scope: str, side) -> DataFrame:
@@ -82,10 +85,10 @@ def near_texts(records: DataFrame) -> DataFrame:
     train = records.filter("is_train").select("text_id", "scope", text("a", "b").alias("text"))
     held = records.filter("NOT is_train")
     both_orders = held.select("text_id", "scope", text("a", "b").alias("text")).unionByName(held.filter("a <> b").select("text_id", "scope", text("b", "a").alias("text")))
-    schema = "text_id bigint, scope string, m int, h bigint, at int"
-    e = both_orders.mapInArrow(_cyclic_prints, schema).select("scope", "m", "h", F.col("text_id").alias("eval_id"), F.col("at").alias("p"))
-    t = train.mapInArrow(_cyclic_prints, schema).select("scope", "m", "h", F.col("text_id").alias("train_id"), F.col("at").alias("q"))
-    seeds = e.join(t, ["scope", "m", "h"]).groupBy("scope", "eval_id", "train_id", F.pmod(F.col("p") - F.col("q"), "m").alias("diagonal")).agg(F.count(F.lit(1)).alias("seeds"))
+    schema = "text_id bigint, scope string, k int, h bigint, at int, size int"
+    e = both_orders.mapInArrow(_cyclic_prints, schema).select("scope", "k", "h", F.col("text_id").alias("eval_id"), F.col("at").alias("p"), "size")
+    t = train.mapInArrow(_cyclic_prints, schema).select("scope", "k", "h", F.col("text_id").alias("train_id"), F.col("at").alias("q"))
+    seeds = e.join(t, ["scope", "k", "h"]).groupBy("scope", "eval_id", "train_id", F.pmod(F.col("p") - F.col("q"), "size").alias("diagonal")).agg(F.count(F.lit(1)).alias("seeds"))
     chains = seeds.groupBy("scope", "eval_id", "train_id").agg(F.max("seeds").alias("seeds"))
     left = held.select(F.col("text_id").alias("eval_id"), *(F.col(c).alias(f"e_{c}") for c in "abs"))
     right = records.filter("is_train").select(F.col("text_id").alias("train_id"), *(F.col(c).alias(f"t_{c}") for c in "abs"))
