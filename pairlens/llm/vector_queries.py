@@ -25,4 +25,12 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Brute force; at the scales where SQL can do it, the index misses nothing."""
+    return {
+        "p6_found": """
+            WITH v AS (SELECT vec_id, method, CAST(embeddings AS DOUBLE[]) AS e FROM embedding_result WHERE embeddings IS NOT NULL),
+            u AS (SELECT vec_id, method, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE list_inner_product(e, e) > 0),
+            s AS (SELECT a.vec_id AS i, b.vec_id AS j, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.e, b.e) / (a.n * b.n), 10) DESC, b.vec_id) AS k
+                  FROM u a JOIN u b ON a.method = b.method AND a.vec_id <> b.vec_id)
+            SELECT DISTINCT least(i, j) AS vec_id_1, greatest(i, j) AS vec_id_2 FROM s WHERE k <= 5"""
+    }
