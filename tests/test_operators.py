@@ -153,6 +153,18 @@ def test_jaccard_and_edges(spark):
     assert sorted(tuple(r) for r in graph.similarity_edges(similar).collect()) == [("a", "b", pytest.approx(1 / 3)), ("b", "a", pytest.approx(1 / 3))]
 
 
+@pytest.mark.parametrize("t", [0.3, 0.5, 1.0])
+def test_jaccard_against_brute_force(spark, t):
+    import random
+
+    rng = random.Random(2)
+    sets = {f"d{i:02}": {int(rng.paretovariate(0.7)) % 25 for _ in range(rng.randint(1, 9))} for i in range(60)}
+    df = spark.createDataFrame([(d, x) for d, s in sets.items() for x in s] * 2 + [("d01", None), (None, 1)], "drug string, gene int")
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    got = {(r["id_1"], r["id_2"]): r["similarity"] for r in graph.jaccard(df, "drug", "gene", t).collect()}
+    assert got == {p: pytest.approx(v) for p, v in want.items() if v >= t}
+
+
 def test_svd_against_numpy(spark):
     import numpy as np
 
