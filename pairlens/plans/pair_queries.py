@@ -93,10 +93,13 @@ def _pair_summary(spark, sf_dir, name):
 
 
 def compare_operators(spark, sf_dir):
-    """Mean width and total of every operator over all pairs that have vectors."""
+    """Mean width and total of every operator over all pairs that have vectors.
+
+    Totals have four digits and are summed as decimals, so the mean depends on no order of rows.
+    """
     out = None
     for name in pairops.OPERATORS:
-        row = _pair_summary(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_pairs"), F.max("width").alias("width"), F.round(F.avg("total"), 4).alias("mean_total")).withColumn("operator", F.lit(name))
+        row = _pair_summary(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("n_pairs"), F.max("width").alias("width"), (F.sum(F.col("total").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("mean_total")).withColumn("operator", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -240,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
             f"""{_FREQ}, u AS (SELECT relation, drug_1 AS head, drug_2 AS tail FROM freq UNION ALL SELECT 'mono:' || mono_se, drug, drug FROM mon WHERE drug IN (SELECT drug_1 FROM freq UNION SELECT drug_2 FROM freq))
             SELECT relation, count(*) AS n_edges, count(*) FILTER (head = tail) AS n_loops FROM u GROUP BY relation""",
         ),
-        "compare_operators": with_views("recs vecs", f"{_LAB}, {_VEC} " + " UNION ALL ".join(f"SELECT count(*) AS n_pairs, max(width) AS width, round(avg(total), 4) AS mean_total, '{n}' AS operator FROM ({_summary(n)})" for n in pairops.OPERATORS)),
+        "compare_operators": with_views("recs vecs", f"{_LAB}, {_VEC} " + " UNION ALL ".join(f"SELECT count(*) AS n_pairs, max(width) AS width, CAST(sum(CAST(total AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS mean_total, '{n}' AS operator FROM ({_summary(n)})" for n in pairops.OPERATORS)),
         "feature_modes": with_views(
             "triples vecs",
             f"""{_FREQ}, d AS (SELECT drug_1 AS drug FROM freq UNION SELECT drug_2 FROM freq), zero AS (SELECT list_transform(range(64), lambda i: 0e0) AS o),
