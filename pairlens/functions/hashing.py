@@ -37,6 +37,20 @@ def hashed_rank(df: DataFrame, groups: list[str], hashed: str, name: str = "rank
     return keyed.withColumn(name, F.col("_before") + F.row_number().over(in_cell) - 1).drop("_cell", "_before")
 
 
+def sorted_index(df: DataFrame, key: str, prefix: int, name: str = "id") -> DataFrame:
+    """Adds the place (from 0) of each distinct, non-null text key in sorted order.
+
+    Keys are ranked within cells that share their first ``prefix`` characters, after the
+    number of keys in earlier cells, so no task sorts all keys.  Only the cells' counts are
+    summed in one window; choose a prefix that leaves few keys per cell and few cells.
+    """
+    cell = df.filter(F.col(key).isNotNull()).withColumn("_cell", F.substring(key, 1, prefix))
+    counts = cell.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select("_cell", (F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_cell")) - F.col("_n")).alias("_before"))
+    in_cell = Window.partitionBy("_cell").orderBy(key)
+    return cell.join(counts, "_cell").withColumn(name, F.col("_before") + F.row_number().over(in_cell) - 1).drop("_cell", "_before")
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
     on = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in by]

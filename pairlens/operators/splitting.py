@@ -76,6 +76,22 @@ def weak_node(triples: DataFrame, n_weak: int = 98, seed: int = 42) -> DataFrame
     return r.withColumn("fold", F.when(~F.col("weak"), "train").when(F.col("rank") < F.floor(F.col("group_size") / 2), "val").otherwise("test")).drop("h", "rank", "group_size", "weak")
 
 
+def _ranked_edges(triples: DataFrame, seed: int) -> DataFrame:
+    return hashed_rank(triples.withColumn("h", content_hash(F.col("relation"), F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "h")
+
+
+def random_edges(triples: DataFrame, train: float = 0.9, val_of_train: float = 0.1, seed: int = 42) -> DataFrame:
+    """All triples in one hashed order: int(.9 n) train, of these the last int(.1 n_train) validation, the rest test."""
+    n_train = F.floor(F.col("group_size") * F.lit(train))
+    n_val = F.floor(n_train * F.lit(val_of_train))
+    return _ranked_edges(triples, seed).withColumn("fold", _cut(F.col("rank"), n_train - n_val, n_val)).select("relation", "drug_1", "drug_2", "fold")
+
+
+def first_edges(triples: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """At most ``most`` triples, the first in hashed order: a subsample for one training round."""
+    return _ranked_edges(triples, seed).filter(F.col("rank") < most).select("relation", "drug_1", "drug_2")
+
+
 STRATEGIES = {"random_pair": random_pair, "stratified_pair": stratified_pair, "drug_cold_start": cold_start}
 
 

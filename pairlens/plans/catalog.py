@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pairlens.plans import explore_queries, graph_queries, model_queries, pair_queries, result_queries, skew_queries
+from pairlens.plans import explore_queries, graph_queries, model_queries, pair_queries, result_queries, skew_queries, study_queries
 
-MODULES = (explore_queries, graph_queries, model_queries, pair_queries, result_queries, skew_queries)
+MODULES = (explore_queries, graph_queries, model_queries, pair_queries, result_queries, skew_queries, study_queries)
 
 
 def queries() -> dict:
