@@ -1,4 +1,4 @@
-"""Embeddings of drugs: propagated SVD, PCA, factorisation, walks; ridge for unseen drugs.
+"""Embeddings of drugs: propagated SVD, PCA, kernel components, factorisation, walks; ridge for unseen drugs.
 
 Long profiles become one sparse vector per drug only at the boundary of Spark's own linear
 algebra, whose Gram matrices are summed over partitions.
@@ -7,6 +7,7 @@ algebra, whose Gram matrices are summed over partitions.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -122,3 +123,48 @@ def ridge_map(features: DataFrame, known: DataFrame, key: str, alpha: float = 1.
     columns = [F.aggregate(F.zip_with("features", F.array(*(F.lit(float(x)) for x in w[:, j])), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) for j in range(m)]
     predicted = features.select(key, F.array(*columns).alias("predicted"))
     return predicted.join(known, key, "left").select(key, F.coalesce("vector", "predicted").alias("vector"), F.col("vector").isNotNull().alias("is_known"))
+
+
+#: Landmarks of the kernel components, at most; they reach every task.
+MAX_LANDMARKS = 1024
+
+
+def kernel_components(vectors: DataFrame, row: str, vector: str, k: int, tables: WorkTables, gamma: float | None = None, landmarks: int = 256) -> DataFrame:
+    """``row, embedding``: principal components under the kernel exp(-gamma |x - y|^2).
+
+    The kernel matrix of all rows grows with their square, so each row is described by its
+    kernel values against ``landmarks`` rows, the first in hashed order; with as many
+    landmarks as rows the result is exact, up to the sign of each component.  Every row is
+    embedded.  ``gamma`` is 1 / dimensions unless given.  Null vectors, and those of another
+    length than the first landmark's, are left out; an empty table gives no rows.
+    """
+    if not 1 <= landmarks <= MAX_LANDMARKS:
+        raise ValueError(f"landmarks must lie between 1 and {MAX_LANDMARKS}")
+    rows = vectors.select(row, F.col(vector).cast("array<double>").alias("vector")).dropna().filter(F.size("vector") > 0)
+    chosen = rows.withColumn("h", content_hash(F.col(row))).orderBy("h").limit(landmarks).select("vector").collect()  # at most MAX_LANDMARKS rows
+    schema = T.StructType([rows.schema[row], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    if not chosen:
+        return vectors.sparkSession.createDataFrame([], schema)
+    dims = len(chosen[0]["vector"])
+    marks = np.array([r["vector"] for r in chosen if len(r["vector"]) == dims])
+    g = 1.0 / dims if gamma is None else gamma
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        square = (x * x).sum(axis=1)[:, None] - 2 * x @ marks.T + (marks * marks).sum(axis=1)
+        return np.exp(-g * np.maximum(square, 0))
+
+    values, axes = np.linalg.eigh(kernel(marks))
+    kept = values > 1e-10 * values[-1]
+    root = axes[:, kept] / np.sqrt(values[kept])
+
+    def features(batches):
+        for pdf in batches:
+            x = np.stack(pdf["vector"].to_numpy()) if len(pdf) else np.zeros((0, dims))
+            yield pd.DataFrame({row: pdf[row], "f": list(kernel(x) @ root)})
+
+    mapped = rows.filter(F.size("vector") == dims).mapInPandas(features, T.StructType([rows.schema[row], T.StructField("f", T.ArrayType(T.DoubleType()))]))
+    base = tables.save(mapped, "features").select(row, array_to_vector("f").alias("raw"))
+    if base.limit(2).count() < 2:
+        return base.select(row, F.array(F.lit(0.0)).alias("embedding"))  # a single row is its own centre
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="raw", outputCol="features").fit(base).transform(base)
+    return PCA(k=min(k, root.shape[1]), inputCol="features", outputCol="p").fit(centred).transform(centred).select(row, vector_to_array("p").alias("embedding"))

@@ -50,6 +50,11 @@ def pca_embedding(spark, sf_dir):
     return reduce.pca_embedding(g.drug_vectors(spark, sf_dir, "graph_svd"), "drug", "vector", DIM)
 
 
+def kernel_embedding(spark, sf_dir):
+    """Components under a Gaussian kernel, by landmarks."""
+    return reduce.kernel_components(g.drug_vectors(spark, sf_dir, "graph_svd"), "drug", "vector", DIM, WorkTables(spark, "kernel"))
+
+
 def nonnegative_factors(spark, sf_dir):
     """Factors of the single-drug effects."""
     m = g.mono(spark, sf_dir).withColumn("x", F.lit(1.0))
@@ -91,7 +96,7 @@ def mlp_metrics(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics)
+    fs = (svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, kernel_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics)
     return {f.__name__: f for f in fs}
 
 
