@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from pairlens.operators import pairops, sampling, splitting
 from pairlens.plans.explore_queries import MIN_PAIRS
 from pairlens.plans.sql import frequent, with_views
+from pairlens.plans.worktables import WorkTables
 from pairlens.sources import graph_views as g
 
 N_WEAK = 98
 METHOD = "graph_svd"
+#: Vectors of 64 dimensions that make up a drug's features in each mode.
+MODE_BLOCKS = {"target_only": 1, "fp_only": 1, "target+fp": 2, "all": 3}
 
 
 def _freq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +107,31 @@ def compare_operators(spark, sf_dir):
     return out
 
 
+def preprocessing_grid(spark, sf_dir):
+    """Every choice of negatives, split, feature mode and operator, with its rows per fold and its width.
+
+    Both kinds of negatives go through each split in one pass, as relations of their own.
+    """
+    t = _freq(spark, sf_dir)
+    parts = []
+    for kind in ("random", "structured"):
+        both = t.withColumn("label", F.lit(1)).unionByName(sampling.sample_negatives(t, kind).withColumn("label", F.lit(0)))
+        parts.append(both.withColumn("relation", F.concat(F.lit(f"{kind}:"), "relation")))
+    labelled = WorkTables(spark, "grid").save(parts[0].unionByName(parts[1]).select("relation", "drug_1", "drug_2", "label"), "labelled")
+    sizes = None
+    for strategy in splitting.STRATEGIES:
+        folded = splitting.split(labelled, strategy).withColumn("negatives", F.substring_index("relation", ":", 1))
+        row = folded.groupBy("negatives").agg(*(F.count_if(F.col("fold") == f).alias(f"n_{f}") for f in ("train", "val", "test"))).withColumn("strategy", F.lit(strategy))
+        sizes = row if sizes is None else sizes.unionByName(row)
+    choices = [F.struct(F.lit(m).alias("mode"), F.lit(o).alias("operator"), F.lit(w).cast("bigint").alias("width")) for m, o, w in _choices()]
+    return sizes.select("*", F.inline(F.array(*choices)))
+
+
+def _choices() -> list[tuple[str, str, int]]:
+    """Feature mode, operator and the width of the pair's features."""
+    return [(m, o, 64 * blocks * times) for m, blocks in MODE_BLOCKS.items() for o, (_, times) in pairops.OPERATORS.items()]
+
+
 def _scores(spark, sf_dir, kind):
     """Triple scores with pca, graph_svd and node2vec vectors as entity tables and relation weights.
 
@@ -144,7 +172,7 @@ def feature_modes(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (negatives_random, negatives_structured, negative_known_pct, random_tail_corruption, heldout_drugs, split_sizes, split_overlap, given_split_sizes, training_drugs, weak_node_split, triple_index_selfloops, compare_operators, feature_modes)
+    fs = (negatives_random, negatives_structured, negative_known_pct, random_tail_corruption, heldout_drugs, split_sizes, split_overlap, given_split_sizes, training_drugs, weak_node_split, triple_index_selfloops, compare_operators, feature_modes, preprocessing_grid)
     out = {f.__name__: f for f in fs}
     out |= {f"split_{s}": partial(_split, strategy=s) for s in splitting.STRATEGIES}
     out |= {f"pair_{n}": partial(_pair_summary, name=n) for n in pairops.OPERATORS}
@@ -256,6 +284,14 @@ def oracle_sql() -> dict[str, str]:
     }
     known = "SELECT count(*) AS n_negatives, round(count(q.drug_1) * 100e0 / count(*), 2) AS pct_known, '{}' AS strategy FROM neg LEFT JOIN (SELECT DISTINCT drug_1, drug_2 FROM freq) q ON q.drug_1 = neg.drug_1 AND q.drug_2 = neg.drug_2"
     out["negative_known_pct"] = f"SELECT * FROM ({with_views('triples', _RANDOM + ' ' + known.format('random'))}) UNION ALL SELECT * FROM ({with_views('triples', _STRUCTURED + ' ' + known.format('structured'))})"
+    kinds = (("random", _RANDOM), ("structured", _STRUCTURED))
+    labelled = " UNION ALL ".join(f"SELECT '{k}:' || relation AS relation, drug_1, drug_2, 1 AS label FROM freq UNION ALL SELECT '{k}:' || relation, drug_1, drug_2, 0 FROM neg_{k}" for k, _ in kinds)
+    drawn = ", ".join(f"neg_{k} AS ({with_views('triples', sql)} SELECT relation, drug_1, drug_2 FROM neg)" for k, sql in kinds)
+    counts = " UNION ALL ".join(f"SELECT split_part(relation, ':', 1) AS negatives, '{s}' AS strategy, {', '.join(f'count(*) FILTER (fold = {chr(39)}{f}{chr(39)}) AS n_{f}' for f in ('train', 'val', 'test'))} FROM s_{s} GROUP BY 1" for s in _SPLITS)
+    choices = ", ".join(f"('{m}', '{o}', CAST({w} AS BIGINT))" for m, o, w in _choices())
+    out["preprocessing_grid"] = with_views(
+        "triples", f"{_FREQ}, {drawn}, lab AS ({labelled}), {', '.join(_SPLITS.values())}, z AS ({counts}) SELECT z.*, mode, operator, width FROM z, (VALUES {choices}) AS c(mode, operator, width)"
+    )
     out |= {f"split_{s}": with_views("recs", f"{_LAB}, {_SPLITS[s]} SELECT * FROM s_{s}") for s in _SPLITS}
     out |= {f"pair_{n}": with_views("recs vecs", f"{_LAB}, {_VEC} {_summary(n)}") for n in pairops.OPERATORS}
     out |= {f"score_{k}": with_views("recs vecs", f"{_LAB}, {_VEC}, {relation} SELECT relation, drug_1, drug_2, round({sql}, 6) + 0e0 AS score FROM ab JOIN rw USING (relation)") for k, sql in scores.items()}
