@@ -5,7 +5,12 @@ the triple, those that are positives of the same relation are dropped, and the f
 remains is taken.  So all relations are sampled in one distributed job, the draw of a triple
 depends on nothing but the data and the seed, and a relation with a third of all triples
 needs no task of its own.  Candidates that two triples of a relation would both take go to
-the triple with the smaller hash; the other goes without.
+the triple with the smaller hash; the other goes without, though free pairs may be left.
+
+The ``_full`` strategies give every relation as many negatives as it has positives, or all
+there are.  Each relation walks the candidates in an order of its own and takes the first
+free ones.  A walk as long as its positives and its negatives together always holds enough,
+so the candidates grow with the triples and no relation is crossed with all pairs.
 """
 
 from __future__ import annotations
@@ -13,10 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from pairlens.functions.hashing import content_hash, hash_slot, hashed_rank
+from pairlens.plans.worktables import WorkTables
 
 #: Candidates drawn for each positive triple.
 TRIES = 4
+#: Steps of a relation's walk that stay in one task.
+BLOCK = 4096
 
 
 def _draws(triples: DataFrame, seed: int) -> DataFrame:
@@ -46,8 +56,9 @@ def random_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
 def structured_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
     """``relation, drug_1, drug_2``: a pair known for another relation for each positive triple.
 
-    Self pairs are never drawn.  A relation that holds most known pairs gets fewer negatives
-    than positives, as there are no more.
+    Self pairs are never drawn.  A triple gets none where its tries fail or another triple
+    has the pair, so relations that hold many of the known pairs get fewer negatives than
+    positives; ``structured_full`` has no such loss.
     """
     pool = triples.select("drug_1", "drug_2").filter("drug_1 < drug_2").distinct()
     ranked = hashed_rank(pool.withColumn("d", content_hash(F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "d", "place", "n_pool").select("place", "drug_1", "drug_2", "n_pool")
@@ -57,7 +68,86 @@ def structured_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
     return _first_free(pairs, triples)
 
 
-STRATEGIES = {"random": random_negatives, "structured": structured_negatives}
+def _prime_from(n: int) -> int:
+    """The smallest prime that is no less than n."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
+
+
+def _walks(wanted: DataFrame, size: int, seed: int) -> DataFrame:
+    """``relation, k, slot``: each relation's first ``reach`` of the slots below ``size``, k their order.
+
+    Slots are ``(k * step + base) mod q`` for the first prime q from ``size`` on, so none comes
+    twice; those beyond ``size`` are left out, and the walk is longer by their number.  The
+    plan takes a walk for as small as its blocks, so joins with it are hinted to shuffle.
+    """
+    q = _prime_from(size)
+    h = content_hash(F.col("relation"), seed=seed)
+    steps = F.least(F.lit(q), F.col("reach") + F.lit(q - size)).cast("bigint")
+    walk = wanted.filter("reach > 0").select("relation", (hash_slot(h, F.lit(min(q - 1, 2**31))) + 1).alias("step"), hash_slot(h, F.lit(q), 9).alias("base"), steps.alias("steps"))
+    blocks = walk.withColumn("block", F.explode(F.expr(f"sequence(0L, (steps - 1) div {BLOCK})"))).repartition("relation", "block")
+    each = blocks.withColumn("k", F.explode(F.expr(f"sequence(block * {BLOCK}, least(steps, (block + 1) * {BLOCK}) - 1)")))
+    return each.select("relation", "k", F.pmod(F.col("k") * F.col("step") + F.col("base"), F.lit(q)).alias("slot")).filter(F.col("slot") < size)
+
+
+def _first_of_walk(candidates: DataFrame, taken: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The first ``n_neg`` candidates of each relation that are not taken, ranked block by block."""
+    free = candidates.join(taken, ["relation", "drug_1", "drug_2"], "left_anti").withColumn("block", F.expr(f"k div {BLOCK}"))
+    in_block = free.withColumn("rank", F.row_number().over(Window.partitionBy("relation", "block").orderBy("k")))
+    counts = free.groupBy("relation", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("relation", "block", (F.sum("n").over(Window.partitionBy("relation").orderBy("block")) - F.col("n")).alias("before"))
+    return in_block.join(before, ["relation", "block"]).join(wanted.select("relation", "n_neg"), "relation").filter("before + rank <= n_neg").select("relation", "drug_1", "drug_2")
+
+
+def _random_walk(drugs: DataFrame, taken: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
+    """``n_neg`` pairs of distinct drugs for each relation that it has not taken, or all there are."""
+    n = drugs.count()
+    ranked = hashed_rank(drugs.withColumn("h", content_hash(F.col("drug"), seed=seed)), [], "h", "place", "n_drugs")
+    t = F.col("slot")
+    guess = F.floor((F.sqrt(8 * t + 1) + 1) / 2)
+    row = F.when(guess * (guess - 1) / 2 > t, guess - 1).when(guess * (guess + 1) / 2 <= t, guess + 1).otherwise(guess)  # the root is rounded
+    placed = _walks(wanted, n * (n - 1) // 2, seed).withColumn("p1", row.cast("bigint")).withColumn("p2", t - F.expr("p1 * (p1 - 1) div 2"))
+    a, b = ranked.select(F.col("place").alias("p1"), F.col("drug").alias("a")), ranked.select(F.col("place").alias("p2"), F.col("drug").alias("b"))
+    return _first_of_walk(placed.join(a.hint("merge"), "p1").join(b.hint("merge"), "p2").select("relation", "k", F.least("a", "b").alias("drug_1"), F.greatest("a", "b").alias("drug_2")), taken, wanted)
+
+
+def _unordered(triples: DataFrame, tables: WorkTables) -> DataFrame:
+    return tables.save(triples.select("relation", F.least("drug_1", "drug_2").alias("drug_1"), F.greatest("drug_1", "drug_2").alias("drug_2")).distinct(), "positives")
+
+
+def _wanted(positives: DataFrame) -> DataFrame:
+    """``relation, n_neg, reach``: as many negatives as positives, and the steps that surely hold them."""
+    return positives.groupBy("relation").agg(F.count(F.lit(1)).alias("n_neg"), (2 * F.count(F.lit(1))).alias("reach"))
+
+
+def random_full_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
+    """``relation, drug_1, drug_2``: for each relation as many pairs of distinct drugs as it has positives, or all that are none."""
+    positives = _unordered(triples, WorkTables(triples.sparkSession, "negatives"))
+    drugs = positives.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
+    return _random_walk(drugs, positives, _wanted(positives), seed)
+
+
+def structured_full_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
+    """``relation, drug_1, drug_2``: for each relation as many negatives as it has positives.
+
+    They are pairs known for another relation; where these run out, random pairs follow
+    until every pair of drugs is used.
+    """
+    tables = WorkTables(triples.sparkSession, "negatives")
+    positives = _unordered(triples, tables)
+    wanted = _wanted(positives)
+    pool = positives.filter("drug_1 < drug_2").select("drug_1", "drug_2").distinct()
+    ranked = tables.save(hashed_rank(pool.withColumn("h", content_hash(F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "h", "slot", "n_pool").select("slot", "drug_1", "drug_2"), "pool")
+    known = tables.save(_first_of_walk(_walks(wanted, ranked.count(), seed).join(ranked.hint("merge"), "slot"), positives, wanted), "known")
+    got = known.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
+    short = wanted.join(got, "relation", "left").select("relation", (F.col("n_neg") - F.coalesce("n", F.lit(0))).alias("n_neg"), (2 * F.col("n_neg")).alias("reach")).filter("n_neg > 0")
+    drugs = positives.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
+    return known.unionByName(_random_walk(drugs, positives.unionByName(known), tables.save(short, "short"), seed))
+
+
+STRATEGIES = {"random": random_negatives, "structured": structured_negatives, "random_full": random_full_negatives, "structured_full": structured_full_negatives}
 
 
 def sample_negatives(triples: DataFrame, strategy: str, seed: int = 42) -> DataFrame:

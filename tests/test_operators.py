@@ -62,6 +62,25 @@ def test_negatives_are_no_positives(many, strategy):
         sampling.sample_negatives(t, "other")
 
 
+@pytest.mark.parametrize("strategy", ["random_full", "structured_full"])
+def test_full_negatives_lose_none(spark, many, strategy):
+    hot = [("hot", f"d{i:03}", f"d{j:03}") for i in range(30) for j in range(i + 1, 30) if (i * j) % 5]
+    t = many.select("relation", "drug_1", "drug_2").distinct().unionByName(spark.createDataFrame(hot, "relation string, drug_1 string, drug_2 string"))
+    pos = {tuple(r) for r in t.collect()}
+    neg = [tuple(r) for r in sampling.sample_negatives(t, strategy).collect()]
+    drugs = {d for p in pos for d in p[1:]}
+    assert len(set(neg)) == len(neg) and not pos & set(neg) and all(a < b and {a, b} <= drugs for _, a, b in neg)
+    known = {p[1:] for p in pos}
+    for relation in {p[0] for p in pos}:
+        n, free = sum(p[0] == relation for p in pos), len(known) - sum(p[0] == relation for p in pos)
+        assert sum(r[0] == relation for r in neg) == min(n, len(drugs) * (len(drugs) - 1) // 2 - n)
+        if strategy == "structured_full":
+            assert sum(r[0] == relation and r[1:] in known for r in neg) >= min(n, free)
+    assert sorted(neg) == sorted(tuple(r) for r in sampling.sample_negatives(t.repartition(7), strategy).collect())
+    full = spark.createDataFrame([("all", "A", "B"), ("all", "A", "C"), ("all", "B", "C")], t.schema)
+    assert sampling.sample_negatives(full, strategy).count() == 0
+
+
 @pytest.mark.parametrize("strategy", sorted(splitting.STRATEGIES))
 def test_folds_partition_the_rows(many, strategy):
     folded = splitting.split(many, strategy)
