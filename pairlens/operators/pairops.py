@@ -56,10 +56,14 @@ def _operator(name: str) -> tuple[Callable[[Column, Column], Column], int]:
 
 
 def with_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The pairs with ``a`` and ``b``, the vectors of their drugs; pairs that lack one are left out."""
-    a = vectors.select(F.col("drug").alias("drug_1"), F.col("vector").alias("a"))
-    b = vectors.select(F.col("drug").alias("drug_2"), F.col("vector").alias("b"))
-    return pairs.join(a, "drug_1").join(b, "drug_2")
+    """The pairs with ``a`` and ``b``, the vectors of their drugs; pairs that lack one are left out.
+
+    Where vectors have a ``method``, a pair comes once for each method that has both.
+    """
+    by = [c for c in vectors.columns if c == "method"]
+    a = vectors.select(*by, F.col("drug").alias("drug_1"), F.col("vector").alias("a"))
+    b = vectors.select(*by, F.col("drug").alias("drug_2"), F.col("vector").alias("b"))
+    return pairs.join(a, "drug_1").join(b, ["drug_2", *by])
 
 
 def pair_features(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:

@@ -58,6 +58,12 @@ def drug_vectors(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     return e.dropna().groupBy("drug").agg(F.min_by("vector", "vec_id").alias("vector"))
 
 
+def method_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``method, drug, vector``: the same for every method."""
+    e = table(spark, sf_dir, "embedding_result").select("method", "vec_id", drug_id(F.col("STITCH")).alias("drug"), F.col("embeddings").cast("array<double>").alias("vector"))
+    return e.dropna().groupBy("method", "drug").agg(F.min_by("vector", "vec_id").alias("vector"))
+
+
 def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of split_rows with cleaned ids; rows without a drug id, code or label are left out."""
     r = table(spark, sf_dir, "split_rows").select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import canonical_text, clean_value, is_complete
 from pairlens.functions.hashing import hashed_rank
 from pairlens.operators import explore, graph, metrics, models, pairops, reduce, sampling, splitting
-from pairlens.plans import WorkTables
+from pairlens.plans import WorkTables, pair_queries
 
 COMBO = [("r1", "A", "B"), ("r1", "A", "C"), ("r2", "B", "C"), ("r2", "A", "B"), ("r3", "D", "E"), ("r1", "A", "A")]
 
@@ -122,6 +122,18 @@ def test_pair_operators(spark):
         pairops.feature_mode(F.col("a"), F.col("a"), F.col("a"), "other")
 
 
+def test_labelled_pairs_of_every_row_and_method(spark, tmp_path):
+    rows = [(i, f"CID{i:09}", f"CID{i + 1:09}", "C0000001", i % 2, "train", s, "positive") for i, s in enumerate(["random_pair", "stratified_pair", "drug_cold_start"] * 4, 1)]
+    spark.createDataFrame(rows, "row_id bigint, drug_1 string, drug_2 string, side_effect string, label int, fold string, strategy string, source string").write.parquet(f"{tmp_path}/split_rows.parquet")
+    vectors = [(10 * i + k, f"CID{i:09}", m, [float(i)] * 64, True, 0.0) for i in range(1, 14) for k, m in enumerate(["graph_svd", "pca"]) if m == "pca" or i < 4]
+    spark.createDataFrame(vectors, "vec_id bigint, STITCH string, method string, embeddings array<double>, has_target boolean, fit_time_s double").write.parquet(f"{tmp_path}/embedding_result.parquet")
+    q = pair_queries.queries()
+    assert q["split_random_pair_all"](spark, str(tmp_path)).count() == 12
+    assert {(r["method"], r["n_pairs"]) for r in q["compare_operators_all"](spark, str(tmp_path)).collect()} == {("graph_svd", 2), ("pca", 12)}
+    for name in ("pair_hadamard_all", "score_distmult_all"):
+        assert q[name](spark, str(tmp_path)).count() == 14
+
+
 def test_metrics_on_ties_and_one_class(spark):
     rows = [("g", y, s) for y, s in zip([1, 0, 1, 0, 1], [0.9, 0.8, 0.8, 0.3, 0.3], strict=True)] + [("one", 1, 0.4), ("one", 1, 0.2)] + [("tie", y, 0.5) for y in (0, 1, 1, 0)]
     df = spark.createDataFrame(rows, "g string, label int, score double")
