@@ -71,8 +71,8 @@ def walk_embedding(spark, sf_dir):
 
 def ridge_coldstart(spark, sf_dir):
     """node2vec vectors of drugs that have none, predicted from their graph_svd vectors."""
-    features = g.drug_vectors(spark, sf_dir, "graph_svd").select("drug", F.slice("vector", 1, DIM).alias("features"))
-    known = g.drug_vectors(spark, sf_dir, "node2vec").select("drug", F.slice("vector", 1, 8).alias("vector"))
+    features = g.drug_vectors(spark, sf_dir, "graph_svd").select("drug", F.col("vector").alias("features"))
+    known = g.drug_vectors(spark, sf_dir, "node2vec")
     return reduce.ridge_map(features, known, "drug").select("drug", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"), "is_known")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.functions import canonical_text, clean_value, is_complete
 from pairlens.functions.hashing import hashed_rank
 from pairlens.operators import explore, graph, metrics, models, pairops, reduce, sampling, splitting
-from pairlens.plans import WorkTables, pair_queries
+from pairlens.plans import WorkTables, model_queries, pair_queries
 
 COMBO = [("r1", "A", "B"), ("r1", "A", "C"), ("r2", "B", "C"), ("r2", "A", "B"), ("r3", "D", "E"), ("r1", "A", "A")]
 
@@ -224,6 +224,20 @@ def test_ridge_against_numpy(spark):
     assert np.allclose(out["d19"]["vector"], x[19] @ coef) and np.allclose(out["d03"]["vector"], y[3])
 
 
+def test_ridge_query_keeps_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.random((80, 64)).round(3)
+    y = (x @ rng.random((64, 64))).round(3)
+    rows = [(2 * i + k, f"CID{i:09}", m, v[i].tolist(), True, 0.0) for i in range(80) for k, (m, v) in enumerate([("graph_svd", x), ("node2vec", y)]) if k == 0 or i < 70]
+    spark.createDataFrame(rows, "vec_id bigint, STITCH string, method string, embeddings array<double>, has_target boolean, fit_time_s double").write.parquet(f"{tmp_path}/embedding_result.parquet")
+    out = {r["drug"]: r for r in model_queries.queries()["ridge_coldstart"](spark, str(tmp_path)).collect()}
+    coef = np.linalg.solve(x[:70].T @ x[:70] + np.eye(64), x[:70].T @ y[:70])
+    assert all(np.allclose(out[f"CID{i:09}"]["vector"], y[i] if i < 70 else x[i] @ coef, atol=1e-4) for i in range(80))
+    assert all(out[f"CID{i:09}"]["is_known"] == (i < 70) for i in range(80))
+
+
 def test_boosted_trees_learn(spark):
     rows = [(f"f{i % 2}", "train" if i % 3 else "test", int((i * 7) % 10 > 4), [float((i * 7) % 10), float(i % 4)]) for i in range(300)]
     df = spark.createDataFrame(rows, "relation string, fold string, label int, features array<double>")
