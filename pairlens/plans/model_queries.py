@@ -78,21 +78,20 @@ def ridge_coldstart(spark, sf_dir):
 
 def _folded(spark, sf_dir):
     r = g.split_records(spark, sf_dir).filter("strategy = 'random_pair'")
-    f = pairops.pair_features(r, g.drug_vectors(spark, sf_dir, "graph_svd").withColumn("vector", F.slice("vector", 1, DIM)), "hadamard_absdiff")
+    f = pairops.pair_features(r, g.drug_vectors(spark, sf_dir, "graph_svd"), "hadamard_absdiff")
     return WorkTables(spark, "model").save(f, "features")
 
 
 def gbt_metrics(spark, sf_dir):
-    """Boosted trees over all relations, the relation as a category: metrics per fold."""
-    folded = _folded(spark, sf_dir)
-    top = folded.groupBy("relation").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "relation").limit(30).select("relation").withColumn("known", F.lit(1))
-    grouped = folded.join(F.broadcast(top), "relation", "left").withColumn("relation_group", F.when(F.col("known") == 1, F.col("relation")).otherwise("other"))  # categories of the learner
-    scored = models.gbt_scores(grouped, ["fold"], category="relation_group")
-    return metrics.ranking_metrics(scored, ["fold"])
+    """Boosted trees over all relations, each a category of its own: metrics per relation and fold."""
+    scored = models.gbt_scores(_folded(spark, sf_dir), ["relation", "fold"], category="relation")
+    return metrics.ranking_metrics(scored, ["relation", "fold"])
 
 
 def mlp_metrics(spark, sf_dir):
-    return metrics.ranking_metrics(models.mlp_scores(_folded(spark, sf_dir), ["fold"]), ["fold"])
+    """A perceptron over all relations, each an input of its own: metrics per relation and fold."""
+    scored = models.mlp_scores(_folded(spark, sf_dir), ["relation", "fold"], category="relation")
+    return metrics.ranking_metrics(scored, ["relation", "fold"])
 
 
 def queries() -> dict:

@@ -243,3 +243,15 @@ def test_boosted_trees_learn(spark):
     df = spark.createDataFrame(rows, "relation string, fold string, label int, features array<double>")
     assert metrics.ranking_metrics(models.gbt_scores(df, ["fold"], category="relation"), ["fold"]).first()["auroc"] > 0.95
     assert metrics.ranking_metrics(models.mlp_scores(df, ["fold"], hidden=(8,)), ["fold"]).first()["auroc"] > 0.9
+
+
+def test_every_relation_is_a_category(spark):
+    """The label is a relation's alone, and there are more relations than bins by default."""
+    rows = [(f"r{i:02}", fold, i % 2, [float(k)]) for i in range(40) for k, fold in enumerate(["train", "train", "test"])]
+    df = spark.createDataFrame(rows, "relation string, fold string, label int, features array<double>")
+    for scores in (models.gbt_scores, models.mlp_scores):
+        scored = scores(df, ["relation", "fold"], category="relation")
+        assert scored.select("relation").distinct().count() == 40
+        assert metrics.ranking_metrics(scored, ["fold"]).first()["auroc"] > 0.95
+    single = df.filter("features[0] <> 1")  # as many training rows as relations
+    assert models.gbt_scores(single, ["relation"], rounds=2, category="relation").count() == 40
