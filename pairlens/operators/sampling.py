@@ -87,7 +87,8 @@ def _walks(wanted: DataFrame, size: int, seed: int) -> DataFrame:
     h = content_hash(F.col("relation"), seed=seed)
     steps = F.least(F.lit(q), F.col("reach") + F.lit(q - size)).cast("bigint")
     walk = wanted.filter("reach > 0").select("relation", (hash_slot(h, F.lit(min(q - 1, 2**31))) + 1).alias("step"), hash_slot(h, F.lit(q), 9).alias("base"), steps.alias("steps"))
-    blocks = walk.withColumn("block", F.explode(F.expr(f"sequence(0L, (steps - 1) div {BLOCK})"))).repartition("relation", "block")
+    tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, else the few bytes of the blocks end in one task
+    blocks = walk.withColumn("block", F.explode(F.expr(f"sequence(0L, (steps - 1) div {BLOCK})"))).repartition(tasks, "relation", "block")
     each = blocks.withColumn("k", F.explode(F.expr(f"sequence(block * {BLOCK}, least(steps, (block + 1) * {BLOCK}) - 1)")))
     return each.select("relation", "k", F.pmod(F.col("k") * F.col("step") + F.col("base"), F.lit(q)).alias("slot")).filter(F.col("slot") < size)
 
