@@ -26,11 +26,12 @@ def relation_coverage(triples: DataFrame, targets: DataFrame) -> DataFrame:
 
     Percentages are rounded to two digits.  Relations without triples have no row.
     """
-    drugs = flag_members(endpoints(triples, ["relation"]).distinct(), "drug", targets.select("drug"), "has_target")
-    per_drug = drugs.groupBy("relation").agg(F.count(F.lit(1)).alias("n_drugs"), F.count_if(~F.col("has_target")).alias("n_missing"))
-    first = flag_members(triples, "drug_1", targets.select("drug"), "h1")
-    both = flag_members(first, "drug_2", targets.select("drug"), "h2")
-    per_pair = both.groupBy("relation").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~F.col("h1") & ~F.col("h2")).alias("n_both_missing"))
+    known = targets.select("drug")
+    flagged = flag_members(flag_members(triples, "drug_1", known, "h1"), "drug_2", known, "h2")
+    ends = F.array(F.struct(F.col("drug_1").alias("drug"), F.col("h1").alias("h")), F.struct(F.col("drug_2").alias("drug"), F.col("h2").alias("h")))
+    drugs = flagged.select("relation", F.inline(ends)).distinct()
+    per_drug = drugs.groupBy("relation").agg(F.count(F.lit(1)).alias("n_drugs"), F.count_if(~F.col("h")).alias("n_missing"))
+    per_pair = flagged.groupBy("relation").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(~F.col("h1") & ~F.col("h2")).alias("n_both_missing"))
     pct = lambda a, b: F.round(F.col(a) * 100e0 / F.col(b), 2)
     return per_drug.join(per_pair, "relation").select(
         "relation", "n_drugs", "n_missing", pct("n_missing", "n_drugs").alias("pct_missing"), "n_pairs", "n_both_missing", pct("n_both_missing", "n_pairs").alias("pct_both_missing")

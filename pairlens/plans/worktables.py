@@ -3,25 +3,38 @@
 Iterative operators and operators that use one intermediate result several times
 write it as Parquet below ``spark.checkpoint.dir`` and read it back.  Such a table
 survives the loss of executors, is compact, and tells the optimizer its size.
+``cached`` keeps a table by the fingerprint of its parameters and input files, so
+queries of one session build it once.
 """
 
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _LEFT: list[tuple[SparkSession, str]] = []
+_CACHED: dict[tuple[str, str], tuple[str, object]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; on one machine, where that is unset, one of our own.
+
+    A cluster needs the setting: a folder of our own would be another one on every machine,
+    and tables read back from it would lack rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = "file://" + tempfile.mkdtemp(prefix="spark-pairlens-")
@@ -69,3 +82,36 @@ class WorkTables:
         path = getattr(df, "_work_path", None)
         if path:
             _delete(self.spark, path)
+
+
+def fingerprint(spark: SparkSession, name: str, inputs: Sequence[str], **parameters) -> str:
+    """Hash of a name, all parameters, and every input file's path, length and time of change.
+
+    The files are listed and hashed by Spark without being read; one row reaches the driver.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(inputs))
+    state = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")).alias("h")).first()
+    return hashlib.sha256(json.dumps([name, list(inputs), state["n"], state["h"], parameters], sort_keys=True, default=str).encode()).hexdigest()[:24]
+
+
+def cached(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame], **parameters) -> DataFrame:
+    """The written table of ``build``, made once for a fingerprint of name, parameters and inputs.
+
+    A changed input file or parameter gives another fingerprint and a table of its own.
+    Tables are deleted when the driver ends, or by ``drop_cached``.
+    """
+    key = spark.sparkContext.applicationId, fingerprint(spark, name, inputs, **parameters)
+    if key not in _CACHED:
+        df = build()
+        path = f"{shared_dir(spark)}/pairlens-{name}-{key[1]}-{uuid.uuid4().hex[:6]}"
+        _LEFT.append((spark, path))
+        df.write.parquet(path)
+        _CACHED[key] = path, df.schema
+    path, schema = _CACHED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop_cached(spark: SparkSession) -> None:
+    """Delete all tables that ``cached`` keeps for this session."""
+    for key in [k for k in _CACHED if k[0] == spark.sparkContext.applicationId]:
+        _delete(spark, _CACHED.pop(key)[0])

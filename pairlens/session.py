@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, driver_memory: str = "8g", app: str = "pairlens") -> SparkSession:
-    """A local session with adaptive execution, UTC, and shuffle partitions near the core count."""
+    """A local session with adaptive execution, UTC, shuffle partitions near the core count, and a folder for work tables."""
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -16,6 +18,7 @@ def local_session(cpus: int = 8, driver_memory: str = "8g", app: str = "pairlens
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-pairlens-"))  # one machine: all tasks share it
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

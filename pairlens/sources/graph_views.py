@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.functions import canonical_text, clean_value, drug_id, is_complete, side_effect_code
+from pairlens.plans.worktables import cached
 from pairlens.sources.tables import table
 
 FIELDS = ("STITCH 1", "STITCH 2", "Polypharmacy Side Effect")
 
 
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``relation, drug_1, drug_2``: distinct reported triples, drug_1 <= drug_2."""
-    text = table(spark, sf_dir, "combo").select(canonical_text([F.col(f"`{f}`") for f in FIELDS]).alias("record")).distinct()
-    parts = text.filter(is_complete(F.col("record"))).select(F.split("record", r"\|").alias("p"))
-    return parts.select(F.col("p")[0].alias("relation"), F.col("p")[1].alias("drug_1"), F.col("p")[2].alias("drug_2"))
+    """``relation, drug_1, drug_2``: distinct reported triples, drug_1 <= drug_2.
+
+    Cleaned once in a session and kept by the fingerprint of the table's files.
+    """
+
+    def build() -> DataFrame:
+        text = table(spark, sf_dir, "combo").select(canonical_text([F.col(f"`{f}`") for f in FIELDS]).alias("record")).distinct()
+        parts = text.filter(is_complete(F.col("record"))).select(F.split("record", r"\|").alias("p"))
+        return parts.select(F.col("p")[0].alias("relation"), F.col("p")[1].alias("drug_1"), F.col("p")[2].alias("drug_2"))
+
+    return cached(spark, "triples", [f"{sf_dir}/combo.parquet"], build)
 
 
 def frequent_triples(spark: SparkSession, sf_dir: str, min_pairs: int) -> DataFrame:

@@ -26,3 +26,38 @@ def test_merge_keeps_the_first(spark):
     new = spark.createDataFrame([("a", "y", 1), ("b", "z", 2), ("c", "w", 3), ("c", "q", 4)], "k string, v string, extra int")
     got = {r["k"]: (r["v"], r["extra"]) for r in merge_keep_first([old, new], ["k"]).collect()}
     assert got == {"a": ("x", None), "b": (None, None), None: ("n", None), "c": ("q", 4)}
+
+
+def test_cached_tables_follow_inputs_and_parameters(spark, tmp_path):
+    from pairlens.plans.worktables import cached, drop_cached
+
+    path = str(tmp_path / "t.parquet")
+    spark.range(5).write.parquet(path)
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path).filter("id >= 1")
+
+    assert cached(spark, "t", [path], build, least=1).count() == 4
+    assert cached(spark, "t", [path], build, least=1).count() == 4 and len(built) == 1
+    cached(spark, "t", [path], build, least=2)
+    assert len(built) == 2
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert cached(spark, "t", [path], build, least=1).count() == 8 and len(built) == 3
+    drop_cached(spark)
+    cached(spark, "t", [path], build, least=1)
+    assert len(built) == 4
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    from pairlens.plans.worktables import shared_dir
+
+    context = SimpleNamespace(master="yarn", applicationId="a")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///x/"}, sparkContext=context)) == "hdfs:///x"
