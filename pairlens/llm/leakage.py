@@ -2,13 +2,16 @@
 
 Words are hashed in the JVM; documents and items are then sequences of word hashes.  Both
 are winnowed with windows chosen so that every run of at least ``span`` shared words leaves
-a common fingerprint; common fingerprints are hits, and each hit is extended word by word
-to the left and right.  A document leaks an item if an extended hit has ``span`` words.
-
-Documents never leave their task while the items are small: their words and fingerprints
-are handed to every task only after their size has been checked against
-``MAX_SHARED_WORDS``.  Beyond it, fingerprints of both sides are joined by a shuffle, and
-only the aligned word windows of candidate pairs are compared.
+a common fingerprint; common fingerprints are seeds, and seeds are extended to the left and
+right.  A document leaks an item if an extended run has ``span`` words.
+
+Winnowing with windows of w also bounds how far a run reaches beyond its outermost seeds:
+by w - 1 words.  So a fingerprint carries only that many words before and behind it, and
+documents and items are never joined with their texts.  Fingerprints are joined by a
+shuffle.  Before it, a bitmap of fixed size (``FILTER_BITS``), set from the items'
+fingerprints, drops document fingerprints that no item has; it may let others through, and
+never decides a result.  Of text that many documents share, each distinct fingerprint with
+its surroundings meets the items once; only what is a true run goes back to the documents.
 """
 
 from __future__ import annotations
@@ -19,11 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pairlens.llm.winnow import fingerprints
+from pairlens.plans import WorkTables
 
-#: Words of all items together that may be handed to every task (8 bytes each, twice).
-MAX_SHARED_WORDS = 4_000_000
+#: The filter has 2 ** FILTER_BITS bits (2 MB), whatever the number of items.
+FILTER_BITS = 24
+#: Parts into which the documents of one shared passage are spread.
+SALTS = 16
 
 
 def word_hashes(text: Column) -> Column:
@@ -41,111 +48,82 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values.astype(np.int64, copy=False).view(np.uint64), offsets - offsets[0]
 
 
-def _run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
-    """Start in a, and length, of the longest run of equal symbols around a[p] == b[q]."""
-    left = min(p, q)
-    back = np.flatnonzero(a[p - left : p] != b[q - left : q])
-    start = p - left + (int(back[-1]) + 1 if back.size else 0)
-    right = min(a.size - p, b.size - q)
-    ahead = np.flatnonzero(a[p : p + right] != b[q : q + right])
-    return start, p + (int(ahead[0]) if ahead.size else right) - start
-
-
-_OUT = "doc_id bigint, item_id string, doc_from int, item_from int, n_words int"
+def _slices(values: np.ndarray, first: np.ndarray, n: np.ndarray, step: int) -> pa.ListArray:
+    """``n[i]`` values from place ``first[i]`` on, forwards or backwards."""
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(first - step * ends[:-1], n) + step * np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values[at].view(np.int64)))
 
 
-def _hits_in_task(items: dict, k: int, w: int, span: int):
-    """Batches of (doc_id, words) to extended hits, against items held by the task."""
+def _print_rows(id_name: str, k: int, w: int, bitmap=None):
+    """(id, words) to (id, h, at, before, behind); with a bitmap, only fingerprints that it holds."""
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = items["shared"].value
-        for batch in batches:
-            values, offsets = _lists(batch.column("words"))
-            h, place, doc = fingerprints(values, offsets, k, w)
-            lo, hi = np.searchsorted(it["h"], h, side="left"), np.searchsorted(it["h"], h, side="right")
-            ids = batch.column("doc_id")
-            out: dict[tuple[int, int], tuple[int, int, int]] = {}
-            seen: dict[tuple[int, int, int], int] = {}
-            for f in np.flatnonzero(hi > lo):
-                d, p = int(doc[f]), int(place[f])
-                words = values[offsets[d] : offsets[d + 1]]
-                p -= int(offsets[d])
-                for j in range(lo[f], hi[f]):
-                    i, q = int(it["item"][j]), int(it["at"][j])
-                    if seen.get((d, i, p - q), -1) > p:
-                        continue  # inside a run that is known
-                    start, n = _run(words, it["values"][it["offsets"][i] : it["offsets"][i + 1]], p, q)
-                    seen[d, i, p - q] = start + n
-                    if n >= span and n > out.get((d, i), (0, 0, 0))[2]:
-                        out[d, i] = (start, start - p + q, n)
-            if out:
-                at = np.array(list(out))
-                runs = np.array(list(out.values()), dtype=np.int32)
-                yield pa.record_batch(
-                    [ids.take(pa.array(at[:, 0])), pa.array([it["ids"][i] for i in at[:, 1]], pa.string()), *(pa.array(runs[:, c]) for c in range(3))],
-                    names=["doc_id", "item_id", "doc_from", "item_from", "n_words"],
-                )
-
-    return search
-
-
-def _fingerprint_rows(id_name: str, k: int, w: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, offsets = _lists(batch.column("words"))
             h, place, seq = fingerprints(values, offsets, k, w)
-            yield pa.record_batch([batch.column(id_name).take(pa.array(seq)), pa.array(h.view(np.int64)), pa.array((place - offsets[seq]).astype(np.int32))], names=[id_name, "h", "at"])
+            if bitmap is not None:
+                bit = h & np.uint64((1 << FILTER_BITS) - 1)
+                held = (bitmap.value[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+                h, place, seq = h[held], place[held], seq[held]
+            before = np.minimum(place - offsets[seq], w - 1)
+            behind = np.minimum(offsets[seq + 1] - place - k, w - 1)
+            columns = [pa.array(h.view(np.int64)), pa.array((place - offsets[seq]).astype(np.int32)), _slices(values, place - 1, before, -1), _slices(values, place + k, behind, 1)]
+            yield pa.record_batch([batch.column(id_name).take(pa.array(seq)), *columns], names=[id_name, "h", "at", "before", "behind"])
 
     return rows
 
 
-def _longest_aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Longest run of equal words in two aligned windows of the same length."""
-    for batch in batches:
-        (a, off), (b, _) = _lists(batch.column("a")), _lists(batch.column("b"))
-        equal = a == b
-        start, longest = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows, dtype=np.int32)
-        for r in range(batch.num_rows):
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], equal[off[r] : off[r + 1]].view(np.int8), [0]])))
-            if edges.size:
-                n = edges[1::2] - edges[::2]
-                start[r], longest[r] = edges[2 * n.argmax()], n.max()
-        doc_from, item_from = (batch.column(c).to_numpy() + start for c in ("lo_d", "lo_i"))
-        yield pa.record_batch([batch.column("doc_id"), batch.column("item_id"), pa.array(doc_from), pa.array(item_from), pa.array(longest)], names=["doc_id", "item_id", "doc_from", "item_from", "n_words"])
+_PRINT = "h bigint, at int, before array<bigint>, behind array<bigint>"
+
+
+def _bitmap(prints: DataFrame) -> np.ndarray:
+    """Bits of all fingerprints; at most 2 ** (FILTER_BITS - 6) rows reach the driver."""
+    bit = F.col("h").bitwiseAND((1 << FILTER_BITS) - 1)
+    words = prints.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _equal_words(a: str, b: str) -> Column:
+    """Number of leading places at which two arrays agree."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(equal, False)
+    return F.when(first == 0, F.size(equal)).otherwise((first - 1).cast("int"))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, span: int = 13, k: int = 8, max_shared_words: int = MAX_SHARED_WORDS) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, tables: WorkTables, span: int = 13, k: int = 8) -> DataFrame:
     """``doc_id, item_id, doc_from, item_from, n_words``: the longest shared run of each pair.
 
     One row per document and item that share at least ``span`` consecutive words; the runs
-    start at word ``doc_from`` and ``item_from`` (from 0).  Of equally long runs one is
+    start at word ``doc_from`` and ``item_from`` (from 0).  Of equally long runs the last is
     given.  Null or short texts leak nothing; empty tables give no rows.  Ids are one row's
     each; extra columns are ignored.  ``k`` must be at most ``span``.
     """
     if not 1 <= k <= span:
         raise ValueError("k must lie between 1 and span")
     w = span - k + 1
-    item_words = items.select(F.col("item_id").cast("string"), word_hashes(F.col("text")).alias("words")).dropna().filter(F.size("words") >= span)
-    doc_words = documents.select(F.col("doc_id").cast("bigint"), word_hashes(F.col("text")).alias("words")).dropna().filter(F.size("words") >= span)
-    n_words = items.select(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] // 2 + 1  # a word has a separator: no more words than that
-    if n_words <= max_shared_words:
-        table = item_words.toArrow()
-        values, offsets = _lists(table.column("words")) if table.num_rows else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        h, place, item = fingerprints(values, offsets, k, w)
-        order = np.argsort(h, kind="stable")
-        shared = {"ids": table.column("item_id").to_pylist(), "values": values, "offsets": offsets, "h": h[order], "item": item[order], "at": (place - offsets[item])[order]}
-        holder = {"shared": documents.sparkSession.sparkContext.broadcast(shared)}
-        return doc_words.mapInArrow(_hits_in_task(holder, k, w, span), _OUT)
-    doc_prints = doc_words.mapInArrow(_fingerprint_rows("doc_id", k, w), "doc_id bigint, h bigint, at int").withColumnRenamed("at", "p")
-    item_prints = item_words.mapInArrow(_fingerprint_rows("item_id", k, w), "item_id string, h bigint, at int").withColumnRenamed("at", "q")
-    candidates = doc_prints.join(item_prints, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift")).distinct()
-    both = candidates.join(item_words.withColumnRenamed("words", "iw"), "item_id").join(doc_words.withColumnRenamed("words", "dw"), "doc_id")
-    lo_d, lo_i = F.greatest("shift", F.lit(0)), F.greatest(-F.col("shift"), F.lit(0))
-    aligned = both.withColumns({"lo_d": lo_d, "lo_i": lo_i}).withColumn("n", F.least(F.size("dw") - F.col("lo_d"), F.size("iw") - F.col("lo_i")))
-    windows = aligned.select("doc_id", "item_id", "lo_d", "lo_i", F.slice("dw", F.col("lo_d") + 1, F.col("n")).alias("a"), F.slice("iw", F.col("lo_i") + 1, F.col("n")).alias("b"))
-    runs = windows.mapInArrow(_longest_aligned, _OUT).filter(F.col("n_words") >= span)
-    best = F.max(F.struct("n_words", "doc_from", "item_from")).alias("m")
-    return runs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.doc_from", "m.item_from", "m.n_words")
+    words = lambda df, name, kind: df.select(F.col(name).cast(kind), word_hashes(F.col("text")).alias("words")).dropna().filter(F.size("words") >= span)
+    item_prints = tables.save(words(items, "item_id", "string").mapInArrow(_print_rows("item_id", k, w), f"item_id string, {_PRINT}"), "items")
+    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(item_prints))
+    found = words(documents, "doc_id", "bigint").mapInArrow(_print_rows("doc_id", k, w, shared), f"doc_id bigint, {_PRINT}")
+    doc_prints = tables.save(found.withColumn("place", F.xxhash64("h", "before", "behind")), "documents")
+
+    distinct = doc_prints.groupBy("h", "place").agg(F.any_value("before").alias("d_before"), F.any_value("behind").alias("d_behind"))
+    met = distinct.join(item_prints, "h").withColumns({"left": _equal_words("d_before", "before"), "right": _equal_words("d_behind", "behind")})
+    runs = met.filter(F.col("left") + F.col("right") + k >= span).select("h", "place", "item_id", F.col("at").alias("q"), "left", "right")  # a seed of a long run has that much
+    spread = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seeds = doc_prints.select("doc_id", "h", "place", F.col("at").alias("p"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")).join(spread, ["h", "place", "salt"])
+    pieces = seeds.select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("shift"), (F.col("p") - F.col("left")).alias("lo"), (F.col("p") + F.col("right") + k).alias("hi"))
+
+    diagonal = Window.partitionBy("doc_id", "item_id", "shift").orderBy("lo", "hi")  # at most the words of one item
+    reached = F.max("hi").over(diagonal.rowsBetween(Window.unboundedPreceding, -1))
+    apart = pieces.withColumn("starts", (reached.isNull() | (F.col("lo") > reached)).cast("int"))
+    chained = apart.withColumn("run", F.sum("starts").over(diagonal.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = chained.groupBy("doc_id", "item_id", "shift", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("hi") - F.col("lo") >= span)
+    best = whole.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("hi") - F.col("lo")).alias("n"), "lo", "shift")).alias("m"))
+    return best.select("doc_id", "item_id", F.col("m.lo").alias("doc_from"), (F.col("m.lo") - F.col("m.shift")).alias("item_from"), F.col("m.n").alias("n_words"))
 
 
 def leak_report(leaks: DataFrame, items: DataFrame) -> DataFrame:

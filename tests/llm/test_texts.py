@@ -43,24 +43,50 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("shared_words", [10**6, 0])
+def longest(doc, item):
+    d, i = words(doc), words(item)
+    best, last = 0, [0] * (len(i) + 1)
+    for x in d:
+        row = [0] * (len(i) + 1)
+        for c, y in enumerate(i, 1):
+            if x == y:
+                row[c] = last[c - 1] + 1
+        best, last = max(best, *row), row
+    return best
+
+
 @pytest.mark.parametrize("k", [4, 8, 13])
-def test_leaks_against_brute_force(spark, corpus, shared_words, k):
+def test_leaks_against_brute_force(spark, corpus, k):
     docs, items = corpus
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumns({"words": F.lit(1), "item_id": F.lit("q")})
     i = spark.createDataFrame(items, "item_id string, text string").withColumn("doc_id", F.lit(1))
-    got = [(r["doc_id"], r["item_id"]) for r in leakage.find_leaks(d, i, k=k, max_shared_words=shared_words).collect()]
+    rows = leakage.find_leaks(d, i, WorkTables(spark, "t"), k=k).collect()
+    got = [(r["doc_id"], r["item_id"]) for r in rows]
     want = {(a, b) for a, t in docs for b, u in items if leaked(t, u, 13)}
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    text, item = dict(docs), dict(items)
+    for r in rows:
+        assert words(text[r["doc_id"]])[r["doc_from"] :][: r["n_words"]] == words(item[r["item_id"]])[r["item_from"] :][: r["n_words"]]
+        if len(text[r["doc_id"]]) < 5000:
+            assert r["n_words"] == longest(text[r["doc_id"]], item[r["item_id"]])
+
+
+def test_a_passage_in_a_third_of_the_documents(spark):
+    """The shared passage meets the items once, and its documents are spread over salts."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    docs = [(i, f"{passage if i % 3 == 0 else ''} d{i} x{i} " + " ".join(f"w{j}" for j in range(10))) for i in range(600)]
+    items = [(f"i{k}", f"a{k} {passage} b{k}") for k in range(5)] + [("short", " ".join(f"w{j}" for j in range(10)))]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in leakage.find_leaks(d, i, WorkTables(spark, "t")).collect()}
+    assert got == {(a, f"i{k}"): 40 for a in range(0, 600, 3) for k in range(5)}
 
 
 def test_leaks_of_empty_tables(spark, corpus):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     no_items = spark.createDataFrame([], "item_id string, text string")
     docs = spark.createDataFrame(corpus[0], "doc_id bigint, text string")
-    for shared in (10**6, -1):
-        assert leakage.find_leaks(docs, no_items, max_shared_words=shared).count() == 0
-        assert leakage.find_leaks(none, no_items, max_shared_words=shared).count() == 0
+    for d, i in ((docs, no_items), (none, no_items), (none, spark.createDataFrame(corpus[1], "item_id string, text string"))):
+        assert leakage.find_leaks(d, i, WorkTables(spark, "t")).count() == 0
 
 
 def test_winnowing_keeps_every_long_shared_run():
