@@ -6,26 +6,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm.near_records import distinct_records, members, near_texts
+from pairlens.llm.spread import spread_join
 from pairlens.plans import WorkTables
 from pairlens.sources import table
 
 FIELDS = ("drug_1", "drug_2", "side_effect")
 
 
-def _parts(spark: SparkSession, sf_dir: str):
-    tables = WorkTables(spark, "overlap")
+def _records(spark: SparkSession, sf_dir: str, tables: WorkTables):
     rows = table(spark, sf_dir, "split_rows").filter(F.col("fold").isin("train", "val", "test"))
     side = F.col("fold") == "train"
-    records = tables.save(distinct_records(rows, "row_id", FIELDS, "strategy", side), "records")
+    return rows, side, tables.save(distinct_records(rows, "row_id", FIELDS, "strategy", side), "records")
+
+
+def _parts(spark: SparkSession, sf_dir: str):
+    tables = WorkTables(spark, "overlap")
+    rows, side, records = _records(spark, sf_dir, tables)
     return rows, side, records, tables.save(near_texts(records), "pairs")
 
 
+def p2_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All overlaps in compact form: one row per pair of different or equal records, by their smallest row ids.
+
+    ``p2_members`` has the rows of every record; together they hold what ``p2_found`` expands.
+    """
+    _, _, _, pairs = _parts(spark, sf_dir)
+    return pairs.select(F.col("scope").alias("strategy"), "eval_id", "train_id", F.col("edits").cast("bigint").alias("edits"), F.round("coverage", 6).alias("coverage"))
+
+
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every row, by the record's smallest row id on the same side of its strategy."""
+    tables = WorkTables(spark, "overlap")
+    rows, side, records = _records(spark, sf_dir, tables)
+    return members(rows, records, "row_id", FIELDS, "strategy", side).select("row_id", "text_id", "is_train")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of ``p2_near_texts`` expanded to their rows; records with very many rows are spread over tasks."""
     rows, side, records, pairs = _parts(spark, sf_dir)
     member = members(rows, records, "row_id", FIELDS, "strategy", side)
     held = member.filter("NOT is_train").select(F.col("text_id").alias("eval_id"), F.col("row_id").alias("r1"))
     train = member.filter("is_train").select(F.col("text_id").alias("train_id"), F.col("row_id").alias("r2"))
-    joined = pairs.select("eval_id", "train_id").join(held, "eval_id").join(train, "train_id")
+    counts = lambda side, name: records.filter(side).select(F.col("text_id").alias(name), "copies")
+    with_held = spread_join(held, pairs.select("eval_id", "train_id"), counts("NOT is_train", "eval_id"), ["eval_id"], "copies", "r1")
+    joined = spread_join(train, with_held, counts("is_train", "train_id"), ["train_id"], "copies", "r2")
     return joined.select(F.least("r1", "r2").alias("row_id_1"), F.greatest("r1", "r2").alias("row_id_2"))
 
 
@@ -41,7 +65,7 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_overlap_report": p2_overlap_report}
+    return {f.__name__: f for f in (p2_found, p2_near_texts, p2_members, p2_overlap_report)}
 
 
 _CLEAN = "nullif(regexp_replace(upper({}), '[^A-Z0-9]', '', 'g'), '')"
@@ -55,8 +79,22 @@ _PAIRS = f"""
            AND (e.s = t.s OR e.x IN (t.x, t.y) OR e.y IN (t.x, t.y)))"""
 
 
+_TEXTS = f"""
+    q AS (SELECT row_id, strategy, fold = 'train' AS is_train, least(x, y) AS x, greatest(x, y) AS y, s FROM
+          (SELECT row_id, fold, strategy, {_CLEAN.format("drug_1")} AS x, {_CLEAN.format("drug_2")} AS y, {_CLEAN.format("side_effect")} AS s FROM split_rows)
+          WHERE x IS NOT NULL AND y IS NOT NULL AND s IS NOT NULL AND strategy IS NOT NULL AND fold IN ('train', 'val', 'test')),
+    u AS (SELECT *, min(row_id) OVER (PARTITION BY strategy, is_train, x, y, s) AS text_id FROM q),
+    k AS (SELECT * FROM u WHERE row_id = text_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_members": f"WITH {_TEXTS} SELECT row_id, text_id, is_train FROM u",
+        "p2_near_texts": f"""WITH {_TEXTS},
+            n AS (SELECT e.strategy, e.text_id AS eval_id, t.text_id AS train_id, length(e.x) + length(e.y) + length(e.s) AS size,
+                         levenshtein(e.s, t.s) + least(levenshtein(e.x, t.x) + levenshtein(e.y, t.y), levenshtein(e.x, t.y) + levenshtein(e.y, t.x)) AS edits
+                  FROM k e JOIN k t ON e.strategy = t.strategy AND t.is_train AND NOT e.is_train AND (e.s = t.s OR e.x IN (t.x, t.y) OR e.y IN (t.x, t.y)))
+            SELECT strategy, eval_id, train_id, edits, round((size - edits) / CAST(size AS DOUBLE), 6) AS coverage FROM n WHERE edits <= 1""",
         "p2_found": f"WITH {_PAIRS} SELECT least(e_id, t_id) AS row_id_1, greatest(e_id, t_id) AS row_id_2 FROM p WHERE edits <= 1",
         "p2_overlap_report": f"""WITH {_PAIRS},
             b AS (SELECT e_id, min(edits) AS edits, max((size - edits) / CAST(size AS DOUBLE)) AS coverage FROM p WHERE edits <= 1 GROUP BY e_id)

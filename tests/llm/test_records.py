@@ -29,6 +29,15 @@ def test_copies_of_records(spark):
     assert pairs == {(1, 2), (1, 3), (1, 4), (5, 6), (9, 10), (12, 13)}
 
 
+def test_hot_copies_are_spread(spark):
+    """A spelling and a record that hold most rows."""
+    rows = [(i, "CID1", "CID2", "C1") for i in range(300)] + [(1000 + i, f"CID{'-' * (i + 1)}1", "CID2", "C1") for i in range(300)] + [(2000 + i, f"CID{i}7", "CID2", "C1") for i in range(30)] * 2
+    rows = [(k, *r[1:]) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "row_id bigint, `A 1` string, `A 2` string, S string")
+    pairs = {tuple(r) for r in copies.copies_of_records(df, FIELDS, WorkTables(spark, "t")).collect()}
+    assert pairs == {(0, i) for i in range(1, 600)} | {(600 + i, 630 + i) for i in range(30)}
+
+
 def test_copies_of_an_empty_table(spark):
     df = spark.createDataFrame([], "row_id bigint, `A 1` string, `A 2` string, S string")
     assert copies.collapse_copies(df, FIELDS).count() == 0 and copies.copies_of_records(df, FIELDS, WorkTables(spark, "t")).count() == 0
