@@ -46,16 +46,14 @@ def test_copies_of_an_empty_table(spark):
 # --- co-occurrence ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("dense_from,block,keep", [(96, 1024, 12), (3, 8, 1)])
-def test_gram_counts(spark, monkeypatch, dense_from, block, keep):
-    monkeypatch.setattr(cooccurrence, "DENSE_FROM", dense_from)
-    monkeypatch.setattr(cooccurrence, "ITEM_BLOCK", block)
-    monkeypatch.setattr(cooccurrence, "MAX_ACCUMULATORS", keep)
+@pytest.mark.parametrize("head,step,rest,most", [(4096, 1 << 20, 1 << 22, 1 << 20), (8, 16, 50, 1000), (0, 7, 1, 3)])
+def test_gram_counts(spark, monkeypatch, head, step, rest, most):
+    for name, value in (("HEAD", head), ("STEP", step), ("REST", rest), ("MAX_ITEMS", most)):
+        monkeypatch.setattr(cooccurrence, name, value)
     rng = random.Random(3)
     baskets = {f"b{i}": {f"i{int(rng.paretovariate(0.6)) % 40:02}" for _ in range(rng.randint(1, 30))} for i in range(200)}
     baskets["hot"] = {f"i{i:02}" for i in range(40)}
     rows = [(b, i) for b, items in baskets.items() for i in items] * 2 + [(None, "i01"), ("b1", None)]
-    acc = cooccurrence.GramAccumulator()
     want: Counter = Counter()
     for items in baskets.values():
         want.update((a, b) for a, b in itertools.combinations_with_replacement(sorted(items), 2))
@@ -71,7 +69,7 @@ def test_gram_counts(spark, monkeypatch, dense_from, block, keep):
                 n += k
             else:
                 local[a, b] += k
-    assert local == want and n == len(baskets) and acc.items == []
+    assert local == want and n == len(baskets)
     df = spark.createDataFrame(rows, "basket string, item string").withColumn("n", F.lit(1))
     gram = WorkTables(spark, "t").save(cooccurrence.gram_counts(df, "basket", "item"))
     got = {(r["item_1"], r["item_2"]): r["n"] for r in gram.collect()}
@@ -82,6 +80,31 @@ def test_gram_counts(spark, monkeypatch, dense_from, block, keep):
         assert r["lift"] == pytest.approx(want[a, b] * len(baskets) / (want[a, a] * want[b, b]))
 
 
+@pytest.mark.parametrize("vocabulary", [5_000, 60_000, 1_000_000])
+def test_gram_memory_is_bounded(vocabulary):
+    """Wide vocabularies and one large basket, in a process that may not grow by more than 1 GB."""
+    import subprocess
+    import sys
+
+    code = f"""
+import resource, numpy as np, pyarrow as pa
+from pairlens.llm import cooccurrence as c
+held = int(open('/proc/self/statm').read().split()[0]) * 4096
+resource.setrlimit(resource.RLIMIT_AS, (held + (1 << 30),) * 2)
+rng = np.random.default_rng(1)
+def batches():
+    for b in range(8):
+        baskets = np.sort(rng.integers(0, 500, 10_000)) + 1000 * b
+        items = np.minimum(rng.pareto(0.3, 10_000), {vocabulary} - 1).astype(int)
+        pairs = np.unique(np.stack([baskets, items], 1), axis=0)
+        yield pa.record_batch([pa.array([str(x) for x in pairs[:, 0]]), pa.array([f'i{{x}}' for x in pairs[:, 1]])], names=['basket', 'item'])
+    yield pa.record_batch([pa.array(['wide'] * 3000), pa.array([f'w{{x}}' for x in range(3000)])], names=['basket', 'item'])
+print(sum(x.num_rows for x in c._gram_cells(batches())))
+"""
+    out = subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, cwd=__file__.rsplit("/tests", 1)[0])
+    assert int(out.stdout) > 4_000_000
+
+
 def test_gram_of_an_empty_table(spark):
     df = spark.createDataFrame([], "basket string, item string")
     assert cooccurrence.gram_counts(df, "basket", "item").count() == 0
