@@ -68,11 +68,15 @@ class WorkTables:
         self._n = 0
         _LEFT.append((spark, self.root))
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` once and return a frame that reads the written copy."""
+    def save(self, df: DataFrame, name: str = "t", dictionary: bool = True) -> DataFrame:
+        """Write ``df`` once and return a frame that reads the written copy.
+
+        Without ``dictionary`` values are written as they are: arrays of floats have few equal
+        ones, and looking each up costs many times the rest of the writing.
+        """
         self._n += 1
         path = f"{self.root}/{name}-{self._n}"
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         copy = self.spark.read.schema(df.schema).parquet(path)
         copy._work_path = path
         return copy
