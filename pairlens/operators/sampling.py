@@ -1,161 +1,172 @@
-"""Negative pairs, matched to the positive triples.
-
-Every positive triple draws its own negative: a few candidates are derived from a hash of
-the triple, those that are positives of the same relation are dropped, and the first that
-remains is taken.  So all relations are sampled in one distributed job, the draw of a triple
-depends on nothing but the data and the seed, and a relation with a third of all triples
-needs no task of its own.  Candidates that two triples of a relation would both take go to
-the triple with the smaller hash; the other goes without, though free pairs may be left.
-
-The ``_full`` strategies give every relation as many negatives as it has positives, or all
-there are.  Each relation walks the candidates in an order of its own and takes the first
-free ones.  A walk as long as its positives and its negatives together always holds enough,
-so the candidates grow with the triples and no relation is crossed with all pairs.
+"""Negative pairs by the ratio rule, for all relations in one distributed job.
+
+A relation with n positive pairs gets max(1, int(n * ratio)) negatives, or all free pairs
+where there are fewer.  Every relation has an order of its own over all candidate pairs: a
+pair's place is ``(slot * factor + shift) mod q`` for a prime q, with factor and shift from
+a hash of the relation.  Its negatives are the first free pairs in that order.  The places
+of the positives are worked out directly, so the free places are counted block by block and
+only the pairs that are taken are ever made: nothing is drawn in vain, no relation is
+crossed with all pairs, and a relation with a third of all triples is spread over its blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairlens.functions.hashing import content_hash, hash_slot, hashed_rank
+from pairlens.operators.spread import spread_join
 from pairlens.plans.worktables import WorkTables
 
-#: Candidates drawn for each positive triple.
-TRIES = 4
-#: Steps of a relation's walk that stay in one task.
+#: Places of a relation's order that are looked at together.
 BLOCK = 4096
+#: Bits of the largest number of candidate pairs; products are taken in two halves.
+PAIR_BITS = 42
 
 
-def _draws(triples: DataFrame, seed: int) -> DataFrame:
-    """``relation, j, h``: hash h of try j of each triple."""
-    tries = triples.withColumn("j", F.explode(F.array(*(F.lit(j) for j in range(TRIES)))))
-    return tries.select("relation", "j", content_hash(F.col("relation"), F.col("drug_1"), F.col("drug_2"), F.col("j"), seed=seed).alias("h"), F.concat_ws("|", "drug_1", "drug_2").alias("source_pair"))
+def _prime_from(n: int) -> int:
+    """The smallest prime that is no less than n."""
+    n = max(n, 2)
+    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
+        n += 1
+    return n
 
 
-def _first_free(candidates: DataFrame, triples: DataFrame) -> DataFrame:
-    """Candidates that are no positives; one for each triple, and each pair once per relation."""
-    free = candidates.filter("drug_1 < drug_2").join(triples, ["relation", "drug_1", "drug_2"], "left_anti")
-    best = free.groupBy("relation", "source_pair").agg(F.min(F.struct("j", "h", "drug_1", "drug_2")).alias("m")).select("relation", "m.h", "m.drug_1", "m.drug_2")
-    return best.groupBy("relation", "drug_1", "drug_2").agg(F.min("h").alias("h")).select("relation", "drug_1", "drug_2")
+def _product_mod(a: Column, b: Column, q: int) -> Column:
+    """a * b mod q without overflow, for a and b below q."""
+    half = 1 << (PAIR_BITS // 2)
+    high = F.pmod(F.pmod(F.floor(a / half).cast("bigint") * b, F.lit(q)) * half, F.lit(q))
+    return F.pmod(high + F.pmod(F.pmod(a, F.lit(half)) * b, F.lit(q)), F.lit(q))
 
 
-def random_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
-    """``relation, drug_1, drug_2``: two distinct drugs drawn uniformly for each positive triple."""
-    drugs = triples.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
-    ranked = hashed_rank(drugs.withColumn("d", content_hash(F.col("drug"), seed=seed)), [], "d", "place", "n_drugs").select("place", "drug", "n_drugs")
-    n = ranked.select("n_drugs").limit(1)
-    drawn = _draws(triples, seed).join(F.broadcast(n)).select("*", hash_slot(F.col("h"), F.col("n_drugs"), 1).alias("p1"), hash_slot(F.col("h"), F.col("n_drugs"), 9).alias("p2"))  # n is one row
-    a, b = ranked.select(F.col("place").alias("p1"), F.col("drug").alias("a")), ranked.select(F.col("place").alias("p2"), F.col("drug").alias("b"))
-    pairs = drawn.join(a, "p1").join(b, "p2").select("relation", "source_pair", "j", "h", F.least("a", "b").alias("drug_1"), F.greatest("a", "b").alias("drug_2"))
-    return _first_free(pairs, triples)
+def _order(q: int, seed: int) -> tuple[Column, Column]:
+    """Factor and shift of a relation's order."""
+    h = content_hash(F.col("relation"), seed=seed)
+    return hash_slot(h, F.lit(min(q - 1, 2**31))) + 1, hash_slot(h, F.lit(q), 9)
 
 
-def structured_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
-    """``relation, drug_1, drug_2``: a pair known for another relation for each positive triple.
+def _inverse(q: int):
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf["inverse"] = [pow(int(f), -1, q) for f in pdf["factor"]]
+            yield pdf
 
-    Self pairs are never drawn.  A triple gets none where its tries fail or another triple
-    has the pair, so relations that hold many of the known pairs get fewer negatives than
-    positives; ``structured_full`` has no such loss.
-    """
-    pool = triples.select("drug_1", "drug_2").filter("drug_1 < drug_2").distinct()
-    ranked = hashed_rank(pool.withColumn("d", content_hash(F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "d", "place", "n_pool").select("place", "drug_1", "drug_2", "n_pool")
-    n = ranked.select("n_pool").limit(1)
-    drawn = _draws(triples, seed).join(F.broadcast(n)).withColumn("place", hash_slot(F.col("h"), F.col("n_pool"), 1))  # n is one row
-    pairs = drawn.join(ranked.drop("n_pool"), "place").select("relation", "source_pair", "j", "h", "drug_1", "drug_2")
-    return _first_free(pairs, triples)
+    return rows
 
 
-def _prime_from(n: int) -> int:
-    """The smallest prime that is no less than n."""
-    n = max(n, 2)
-    while any(n % d == 0 for d in range(2, int(n**0.5) + 1)):
-        n += 1
-    return n
-
+def _first_free(wanted: DataFrame, taken: DataFrame, size: int, seed: int, tables: WorkTables) -> DataFrame:
+    """``relation, slot``: of the slots below ``size``, the first ``n_neg`` of each relation's order that are not taken.
 
-def _walks(wanted: DataFrame, size: int, seed: int) -> DataFrame:
-    """``relation, k, slot``: each relation's first ``reach`` of the slots below ``size``, k their order.
-
-    Slots are ``(k * step + base) mod q`` for the first prime q from ``size`` on, so none comes
-    twice; those beyond ``size`` are left out, and the walk is longer by their number.  The
-    plan takes a walk for as small as its blocks, so joins with it are hinted to shuffle.
+    ``wanted`` has ``relation, n_neg, n_taken``; ``taken`` has distinct ``relation, slot``.
     """
     q = _prime_from(size)
-    h = content_hash(F.col("relation"), seed=seed)
-    steps = F.least(F.lit(q), F.col("reach") + F.lit(q - size)).cast("bigint")
-    walk = wanted.filter("reach > 0").select("relation", (hash_slot(h, F.lit(min(q - 1, 2**31))) + 1).alias("step"), hash_slot(h, F.lit(q), 9).alias("base"), steps.alias("steps"))
+    if q >= 1 << PAIR_BITS:
+        raise ValueError(f"{size} candidate pairs are more than {1 << PAIR_BITS}")
+    factor, shift = _order(q, seed)
+    none = F.lit(q - size)  # slots from size on hold no pair
+    walks = wanted.filter("n_neg > 0").select("relation", "n_neg", "n_taken", factor.alias("factor"), shift.alias("shift"), F.least(F.lit(q), F.col("n_neg") + F.col("n_taken") + none).cast("bigint").alias("reach"))
+    walks = tables.save(walks.mapInPandas(_inverse(q), "relation string, n_neg bigint, n_taken bigint, factor bigint, shift bigint, reach bigint, inverse bigint"), "walks")  # one row per relation
+    ghosts = walks.select("relation", F.explode(F.expr(f"sequence({size}L, {q - 1}L)") if q > size else F.array().cast("array<bigint>")).alias("slot"))
+    near = spread_join(taken.unionByName(ghosts), walks.select("relation", "factor", "shift", "reach"), wanted, ["relation"], "n_taken", "slot")
+    placed = near.withColumn("k", F.pmod(_product_mod(F.col("slot"), F.col("factor"), q) + F.col("shift"), F.lit(q))).filter("k < reach")
+    holes = placed.groupBy("relation", F.expr(f"k div {BLOCK}").alias("block")).agg(F.collect_set(F.expr(f"cast(k % {BLOCK} as int)")).alias("holes"))  # at most BLOCK
+    blocks = walks.withColumn("block", F.explode(F.expr(f"sequence(0L, (reach - 1) div {BLOCK})"))).join(holes, ["relation", "block"], "left")
+    length = F.least(F.lit(BLOCK), F.col("reach") - F.col("block") * BLOCK)
+    sized = blocks.withColumns({"holes": F.coalesce("holes", F.array().cast("array<int>")), "length": length.cast("int")}).withColumn("free", F.col("length") - F.size("holes"))
+    before = F.sum("free").over(Window.partitionBy("relation").orderBy("block")) - F.col("free")  # one row per block
+    needed = sized.withColumn("need", F.col("n_neg") - before).filter("need > 0").select("relation", "block", "length", "holes", "need", "inverse", "shift")
     tasks = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, else the few bytes of the blocks end in one task
-    blocks = walk.withColumn("block", F.explode(F.expr(f"sequence(0L, (steps - 1) div {BLOCK})"))).repartition(tasks, "relation", "block")
-    each = blocks.withColumn("k", F.explode(F.expr(f"sequence(block * {BLOCK}, least(steps, (block + 1) * {BLOCK}) - 1)")))
-    return each.select("relation", "k", F.pmod(F.col("k") * F.col("step") + F.col("base"), F.lit(q)).alias("slot")).filter(F.col("slot") < size)
+    spread = needed.repartition(tasks, "relation", "block")
+    free = F.slice(F.array_except(F.sequence(F.lit(0), F.col("length") - 1), "holes"), F.lit(1), F.least("need", F.lit(BLOCK)).cast("int"))
+    each = spread.select("relation", "inverse", "shift", "block", F.explode(free).alias("at")).withColumn("k", F.col("block") * BLOCK + F.col("at"))
+    return each.select("relation", _product_mod(F.pmod(F.col("k") - F.col("shift"), F.lit(q)), F.col("inverse"), q).alias("slot"))
+
 
+def _positives(triples: DataFrame, tables: WorkTables) -> DataFrame:
+    return tables.save(triples.select("relation", F.least("drug_1", "drug_2").alias("drug_1"), F.greatest("drug_1", "drug_2").alias("drug_2")).distinct(), "positives")
 
-def _first_of_walk(candidates: DataFrame, taken: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The first ``n_neg`` candidates of each relation that are not taken, ranked block by block."""
-    free = candidates.join(taken, ["relation", "drug_1", "drug_2"], "left_anti").withColumn("block", F.expr(f"k div {BLOCK}"))
-    in_block = free.withColumn("rank", F.row_number().over(Window.partitionBy("relation", "block").orderBy("k")))
-    counts = free.groupBy("relation", "block").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("relation", "block", (F.sum("n").over(Window.partitionBy("relation").orderBy("block")) - F.col("n")).alias("before"))
-    return in_block.join(before, ["relation", "block"]).join(wanted.select("relation", "n_neg"), "relation").filter("before + rank <= n_neg").select("relation", "drug_1", "drug_2")
 
+def _wanted(positives: DataFrame, ratio: float) -> DataFrame:
+    """``relation, n_neg, n_taken``: max(1, int(n * ratio)) negatives for n positive pairs."""
+    n = F.count(F.lit(1))
+    return positives.groupBy("relation").agg(F.greatest(F.lit(1), F.floor(n * F.lit(float(ratio)))).cast("bigint").alias("n_neg"), n.alias("n_taken"))
 
-def _random_walk(drugs: DataFrame, taken: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """``n_neg`` pairs of distinct drugs for each relation that it has not taken, or all there are."""
-    n = drugs.count()
-    ranked = hashed_rank(drugs.withColumn("h", content_hash(F.col("drug"), seed=seed)), [], "h", "place", "n_drugs")
-    t = F.col("slot")
-    guess = F.floor((F.sqrt(8 * t + 1) + 1) / 2)
-    row = F.when(guess * (guess - 1) / 2 > t, guess - 1).when(guess * (guess + 1) / 2 <= t, guess + 1).otherwise(guess)  # the root is rounded
-    placed = _walks(wanted, n * (n - 1) // 2, seed).withColumn("p1", row.cast("bigint")).withColumn("p2", t - F.expr("p1 * (p1 - 1) div 2"))
-    a, b = ranked.select(F.col("place").alias("p1"), F.col("drug").alias("a")), ranked.select(F.col("place").alias("p2"), F.col("drug").alias("b"))
-    return _first_of_walk(placed.join(a.hint("merge"), "p1").join(b.hint("merge"), "p2").select("relation", "k", F.least("a", "b").alias("drug_1"), F.greatest("a", "b").alias("drug_2")), taken, wanted)
 
+class _Drugs:
+    """All drugs by place, and unordered pairs of them by slot: p1 (p1 - 1) / 2 + p2 for places p2 < p1."""
 
-def _unordered(triples: DataFrame, tables: WorkTables) -> DataFrame:
-    return tables.save(triples.select("relation", F.least("drug_1", "drug_2").alias("drug_1"), F.greatest("drug_1", "drug_2").alias("drug_2")).distinct(), "positives")
+    def __init__(self, positives: DataFrame, seed: int, tables: WorkTables) -> None:
+        drugs = positives.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).groupBy("drug").agg(F.count(F.lit(1)).alias("n"))
+        ranked = hashed_rank(drugs.withColumn("h", content_hash(F.col("drug"), seed=seed)), [], "h", "place", "n_drugs")
+        self.places = tables.save(ranked.select("place", "drug", "n"), "drugs")
+        n = self.places.count()
+        self.pairs = n * (n - 1) // 2
 
+    def slots(self, pairs: DataFrame) -> DataFrame:
+        """``relation, slot`` of the pairs; pairs of a drug with itself have none."""
+        out = pairs
+        for i in (1, 2):
+            counts = self.places.select(F.col("drug").alias(f"drug_{i}"), "n")
+            out = spread_join(out, self.places.select(F.col("drug").alias(f"drug_{i}"), F.col("place").alias(f"p{i}")), counts, [f"drug_{i}"], "n", f"drug_{3 - i}")
+        high, low = F.greatest("p1", "p2"), F.least("p1", "p2")
+        return out.filter("p1 <> p2").select("relation", (F.expr("greatest(p1, p2) * (greatest(p1, p2) - 1) div 2") + low).alias("slot"))
 
-def _wanted(positives: DataFrame) -> DataFrame:
-    """``relation, n_neg, reach``: as many negatives as positives, and the steps that surely hold them."""
-    return positives.groupBy("relation").agg(F.count(F.lit(1)).alias("n_neg"), (2 * F.count(F.lit(1))).alias("reach"))
+    def named(self, slots: DataFrame) -> DataFrame:
+        """``relation, drug_1, drug_2`` of the slots."""
+        t = F.col("slot")
+        guess = F.floor((F.sqrt(8 * t + 1) + 1) / 2)
+        high = F.when(guess * (guess - 1) / 2 > t, guess - 1).when(guess * (guess + 1) / 2 <= t, guess + 1).otherwise(guess)  # the root is rounded
+        placed = slots.withColumn("p1", high.cast("bigint")).select("relation", "p1", (t - F.expr("p1 * (p1 - 1) div 2")).alias("p2"))
+        a, b = self.places.select(F.col("place").alias("p1"), F.col("drug").alias("a")), self.places.select(F.col("place").alias("p2"), F.col("drug").alias("b"))
+        return placed.join(a, "p1").join(b, "p2").select("relation", F.least("a", "b").alias("drug_1"), F.greatest("a", "b").alias("drug_2"))
 
 
-def random_full_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
-    """``relation, drug_1, drug_2``: for each relation as many pairs of distinct drugs as it has positives, or all that are none."""
-    positives = _unordered(triples, WorkTables(triples.sparkSession, "negatives"))
-    drugs = positives.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
-    return _random_walk(drugs, positives, _wanted(positives), seed)
+def random_negatives(triples: DataFrame, seed: int = 42, ratio: float = 1.0) -> DataFrame:
+    """``relation, drug_1, drug_2``: pairs of distinct drugs that are no positives of the relation."""
+    tables = WorkTables(triples.sparkSession, "negatives")
+    positives = _positives(triples, tables)
+    drugs = _Drugs(positives, seed, tables)
+    return drugs.named(_first_free(tables.save(_wanted(positives, ratio), "wanted"), drugs.slots(positives), drugs.pairs, seed, tables))
 
 
-def structured_full_negatives(triples: DataFrame, seed: int = 42) -> DataFrame:
-    """``relation, drug_1, drug_2``: for each relation as many negatives as it has positives.
+def structured_negatives(triples: DataFrame, seed: int = 42, ratio: float = 1.0) -> DataFrame:
+    """``relation, drug_1, drug_2``: pairs that are known for another relation and not for this one.
 
-    They are pairs known for another relation; where these run out, random pairs follow
-    until every pair of drugs is used.
+    Pairs of a drug with itself are left out.  Where a relation has too few such pairs, all
+    are taken, and random pairs of distinct drugs follow until it has its number or no pair
+    is free.
     """
     tables = WorkTables(triples.sparkSession, "negatives")
-    positives = _unordered(triples, tables)
-    wanted = _wanted(positives)
+    positives = _positives(triples, tables)
+    wanted = tables.save(_wanted(positives, ratio), "wanted")
     pool = positives.filter("drug_1 < drug_2").select("drug_1", "drug_2").distinct()
-    ranked = tables.save(hashed_rank(pool.withColumn("h", content_hash(F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "h", "slot", "n_pool").select("slot", "drug_1", "drug_2"), "pool")
-    known = tables.save(_first_of_walk(_walks(wanted, ranked.count(), seed).join(ranked.hint("merge"), "slot"), positives, wanted), "known")
+    ranked = hashed_rank(pool.withColumn("h", content_hash(F.col("drug_1"), F.col("drug_2"), seed=seed)), [], "h", "slot", "n_pool")
+    ranked = tables.save(ranked.select("slot", "drug_1", "drug_2"), "pool")
+    n_pool = ranked.count()
+    own = positives.join(ranked, ["drug_1", "drug_2"]).select("relation", "slot")
+    known = tables.save(_first_free(wanted, own, n_pool, seed, tables).join(ranked, "slot").select("relation", "drug_1", "drug_2"), "known")
     got = known.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
-    short = wanted.join(got, "relation", "left").select("relation", (F.col("n_neg") - F.coalesce("n", F.lit(0))).alias("n_neg"), (2 * F.col("n_neg")).alias("reach")).filter("n_neg > 0")
-    drugs = positives.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
-    return known.unionByName(_random_walk(drugs, positives.unionByName(known), tables.save(short, "short"), seed))
+    have = wanted.join(got, "relation", "left").fillna(0, ["n"])
+    short = tables.save(have.select("relation", (F.col("n_neg") - F.col("n")).alias("n_neg"), (F.col("n_taken") + F.col("n")).alias("n_taken")).filter("n_neg > 0"), "short")
+    if short.isEmpty():
+        return known
+    drugs = _Drugs(positives, seed, tables)
+    taken = tables.save(positives.unionByName(known).join(short.select("relation"), "relation", "left_semi"), "taken")
+    return known.unionByName(drugs.named(_first_free(short, drugs.slots(taken), drugs.pairs, seed, tables)))
 
 
-STRATEGIES = {"random": random_negatives, "structured": structured_negatives, "random_full": random_full_negatives, "structured_full": structured_full_negatives}
+STRATEGIES = {"random": random_negatives, "structured": structured_negatives}
 
 
-def sample_negatives(triples: DataFrame, strategy: str, seed: int = 42) -> DataFrame:
-    """Negatives by a named strategy; an unknown name raises ValueError."""
+def sample_negatives(triples: DataFrame, strategy: str, seed: int = 42, ratio: float = 1.0) -> DataFrame:
+    """Negatives by a named strategy, ``ratio`` for each positive pair; an unknown name raises ValueError."""
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from {sorted(STRATEGIES)}")
-    return STRATEGIES[strategy](triples, seed)
+    return STRATEGIES[strategy](triples, seed, ratio)
 
 
 def known_share(negatives: DataFrame, triples: DataFrame) -> DataFrame:

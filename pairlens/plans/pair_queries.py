@@ -14,6 +14,8 @@ from pairlens.plans.worktables import WorkTables
 from pairlens.sources import graph_views as g
 
 N_WEAK = 98
+#: Negatives for each positive pair, by the ending of the query's name (``_full``: an older name of the first).
+RATIOS = {"": 1.0, "_full": 1.0, "_half": 0.5, "_double": 2.0}
 METHOD = "graph_svd"
 #: Vectors of 64 dimensions that make up a drug's features in each mode.
 MODE_BLOCKS = {"target_only": 1, "fp_only": 1, "target+fp": 2, "all": 3}
@@ -30,12 +32,9 @@ def _labelled(spark, sf_dir, every=False):
     return r.select("relation", lo, hi, "label").groupBy("relation", "drug_1", "drug_2").agg(F.max("label").alias("label"))
 
 
-def negatives_random(spark, sf_dir):
-    return sampling.sample_negatives(_freq(spark, sf_dir), "random")
-
-
-def negatives_structured(spark, sf_dir):
-    return sampling.sample_negatives(_freq(spark, sf_dir), "structured")
+def _negatives(spark, sf_dir, strategy, ratio=1.0):
+    """``ratio`` negatives for each positive pair of every relation."""
+    return sampling.sample_negatives(_freq(spark, sf_dir), strategy, ratio=ratio)
 
 
 def negative_known_pct(spark, sf_dir):
@@ -44,22 +43,6 @@ def negative_known_pct(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
-def negatives_random_full(spark, sf_dir):
-    """As many negatives as positives for every relation; ``negatives_random`` loses those that collide."""
-    return sampling.sample_negatives(_freq(spark, sf_dir), "random_full")
-
-
-def negatives_structured_full(spark, sf_dir):
-    """As many negatives as positives for every relation, topped up with random pairs."""
-    return sampling.sample_negatives(_freq(spark, sf_dir), "structured_full")
-
-
-def negative_known_pct_full(spark, sf_dir):
-    t = _freq(spark, sf_dir)
-    parts = [sampling.known_share(sampling.sample_negatives(t, s), t).withColumn("strategy", F.lit(s)) for s in ("random_full", "structured_full")]
-    return parts[0].unionByName(parts[1])
-
-
 def random_tail_corruption(spark, sf_dir):
     return sampling.corrupted_tails(_freq(spark, sf_dir))
 
@@ -202,8 +185,10 @@ def feature_modes(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (negatives_random, negatives_structured, negative_known_pct, negatives_random_full, negatives_structured_full, negative_known_pct_full, random_tail_corruption, heldout_drugs, split_sizes, split_overlap, given_split_sizes, training_drugs, weak_node_split, triple_index_selfloops, compare_operators, feature_modes, preprocessing_grid)
+    fs = (negative_known_pct, random_tail_corruption, heldout_drugs, split_sizes, split_overlap, given_split_sizes, training_drugs, weak_node_split, triple_index_selfloops, compare_operators, feature_modes, preprocessing_grid)
     out = {f.__name__: f for f in fs}
+    out |= {f"negatives_{s}{name}": partial(_negatives, strategy=s, ratio=r) for s in sampling.STRATEGIES for name, r in RATIOS.items()}
+    out["negative_known_pct_full"] = negative_known_pct
     out |= {f"split_{s}": partial(_split, strategy=s) for s in splitting.STRATEGIES}
     out |= {f"pair_{n}": partial(_pair_summary, name=n) for n in pairops.OPERATORS}
     out |= {f"score_{k}": partial(_scores, kind=k) for k in ("distmult", "simple", "trivec", "bilinear")}
@@ -224,30 +209,32 @@ def _slot(h: str, n: str, start: int = 1) -> str:
 
 _FREQ = frequent(MIN_PAIRS)
 _DRUGS = f"d AS (SELECT drug, row_number() OVER (ORDER BY {_h('drug')}) - 1 AS place FROM (SELECT drug_1 AS drug FROM freq UNION SELECT drug_2 FROM freq)), nd AS (SELECT count(*) AS n FROM d)"
-_DRAWS = f"t AS (SELECT relation, drug_1 || '|' || drug_2 AS source_pair, j, {_h('relation', 'drug_1', 'drug_2', 'j')} AS h FROM freq, range({sampling.TRIES}) AS r(j))"
-_FREE = """free AS (SELECT * FROM c WHERE drug_1 < drug_2 AND NOT EXISTS (SELECT 1 FROM freq f WHERE f.relation = c.relation AND f.drug_1 = c.drug_1 AND f.drug_2 = c.drug_2)),
-    m AS (SELECT *, row_number() OVER (PARTITION BY relation, source_pair ORDER BY j) AS k FROM free)"""
-_RANDOM = f"""{_FREQ}, {_DRUGS}, {_DRAWS}, c AS (SELECT relation, source_pair, j, h, least(a.drug, b.drug) AS drug_1, greatest(a.drug, b.drug) AS drug_2
-    FROM t, nd JOIN d a ON a.place = {_slot('h', 'n')} JOIN d b ON b.place = {_slot('h', 'n', 9)}), {_FREE}, neg AS (SELECT DISTINCT relation, drug_1, drug_2 FROM m WHERE k = 1)"""
-_STRUCTURED = f"""{_FREQ}, pool AS (SELECT *, row_number() OVER (ORDER BY {_h('drug_1', 'drug_2')}) - 1 AS place FROM (SELECT DISTINCT drug_1, drug_2 FROM freq WHERE drug_1 < drug_2)), np AS (SELECT count(*) AS n FROM pool),
-    {_DRAWS}, c AS (SELECT relation, source_pair, j, h, drug_1, drug_2 FROM t, np JOIN pool ON place = {_slot('h', 'n')}), {_FREE}, neg AS (SELECT DISTINCT relation, drug_1, drug_2 FROM m WHERE k = 1)"""
 
 
-def _walk_sql(name: str, pairs: str, wanted: str, taken: str) -> str:
-    """Table ``name``: of the ``pairs`` (slot, drug_1, drug_2) that are not taken, the first n_neg of each relation's walk."""
-    return f"""{name}_q AS (SELECT min(q) AS q, any_value(n) AS n FROM (SELECT n, unnest(range(greatest(n, 2), greatest(n, 2) + 2000)) AS q FROM (SELECT count(*) AS n FROM {pairs})) WHERE len(list_filter(range(2, CAST(floor(sqrt(q)) AS BIGINT) + 1), lambda d: q % d = 0)) = 0),
-    {name}_w AS (SELECT relation, n_neg, 1 + {_slot(_h('relation'), 'least(q - 1, 2147483648)')} AS step, {_slot(_h('relation'), 'q', 9)} AS base, q FROM {wanted}, {name}_q),
-    {name}_k AS (SELECT w.*, k, (k * step + base) % q AS slot FROM {name}_w w, (SELECT unnest(range(q)) AS k FROM {name}_q)),
-    {name} AS (SELECT relation, drug_1, drug_2 FROM (SELECT k.relation, p.drug_1, p.drug_2, n_neg, row_number() OVER (PARTITION BY k.relation ORDER BY k) AS r FROM {name}_k k JOIN {pairs} p ON p.slot = k.slot
-        LEFT JOIN {taken} x ON x.relation = k.relation AND x.drug_1 = p.drug_1 AND x.drug_2 = p.drug_2 WHERE x.relation IS NULL) WHERE r <= n_neg)"""
+def _first_sql(name: str, pairs: str, wanted: str, taken: str) -> str:
+    """Table ``name``: of the ``pairs`` (slot, drug_1, drug_2) that are not taken, the first n_neg of each relation's order."""
+    return f"""{name}_q AS (SELECT min(q) AS q FROM (SELECT n, unnest(range(greatest(n, 2), greatest(n, 2) + 2000)) AS q FROM (SELECT count(*) AS n FROM {pairs})) WHERE len(list_filter(range(2, CAST(floor(sqrt(q)) AS BIGINT) + 1), lambda d: q % d = 0)) = 0),
+    {name}_w AS (SELECT relation, n_neg, 1 + {_slot(_h('relation'), 'least(q - 1, 2147483648)')} AS factor, {_slot(_h('relation'), 'q', 9)} AS shift, q FROM {wanted}, {name}_q),
+    {name} AS (SELECT relation, drug_1, drug_2 FROM (SELECT w.relation, p.drug_1, p.drug_2, n_neg, row_number() OVER (PARTITION BY w.relation ORDER BY (p.slot * factor + shift) % q) AS r FROM {name}_w w, {pairs} p
+        WHERE NOT EXISTS (SELECT 1 FROM {taken} x WHERE x.relation = w.relation AND x.drug_1 = p.drug_1 AND x.drug_2 = p.drug_2)) WHERE r <= n_neg)"""
 
 
-_ANY = f"""{_FREQ}, {_DRUGS}, want AS (SELECT relation, count(*) AS n_neg FROM freq GROUP BY relation),
+def _any(ratio: float) -> str:
+    return f"""{_FREQ}, {_DRUGS}, want AS (SELECT relation, greatest(1, CAST(floor(count(*) * {ratio}e0) AS BIGINT)) AS n_neg FROM freq GROUP BY relation),
     anypair AS (SELECT a.place * (a.place - 1) // 2 + b.place AS slot, least(a.drug, b.drug) AS drug_1, greatest(a.drug, b.drug) AS drug_2 FROM d a JOIN d b ON b.place < a.place)"""
-_RANDOM_FULL = f"{_ANY}, {_walk_sql('neg', 'anypair', 'want', 'freq')}"
-_STRUCTURED_FULL = f"""{_ANY}, pool AS (SELECT drug_1, drug_2, row_number() OVER (ORDER BY {_h('drug_1', 'drug_2')}) - 1 AS slot FROM (SELECT DISTINCT drug_1, drug_2 FROM freq WHERE drug_1 < drug_2)),
-    {_walk_sql('kn', 'pool', 'want', 'freq')}, short AS (SELECT relation, want.n_neg - coalesce(n, 0) AS n_neg FROM want LEFT JOIN (SELECT relation, count(*) AS n FROM kn GROUP BY relation) USING (relation) WHERE want.n_neg > coalesce(n, 0)),
-    used AS (SELECT * FROM freq UNION ALL SELECT * FROM kn), {_walk_sql('extra', 'anypair', 'short', 'used')}, neg AS (SELECT * FROM kn UNION ALL SELECT * FROM extra)"""
+
+
+def _random_sql(ratio: float = 1.0) -> str:
+    return f"{_any(ratio)}, {_first_sql('neg', 'anypair', 'want', 'freq')}"
+
+
+def _structured_sql(ratio: float = 1.0) -> str:
+    return f"""{_any(ratio)}, pool AS (SELECT drug_1, drug_2, row_number() OVER (ORDER BY {_h('drug_1', 'drug_2')}) - 1 AS slot FROM (SELECT DISTINCT drug_1, drug_2 FROM freq WHERE drug_1 < drug_2)),
+    {_first_sql('kn', 'pool', 'want', 'freq')}, short AS (SELECT relation, want.n_neg - coalesce(n, 0) AS n_neg FROM want LEFT JOIN (SELECT relation, count(*) AS n FROM kn GROUP BY relation) USING (relation) WHERE want.n_neg > coalesce(n, 0)),
+    used AS (SELECT * FROM freq UNION ALL SELECT * FROM kn), {_first_sql('extra', 'anypair', 'short', 'used')}, neg AS (SELECT * FROM kn UNION ALL SELECT * FROM extra)"""
+
+
+_NEGATIVES = {"random": _random_sql, "structured": _structured_sql}
 _LAB = "lab AS (SELECT relation, least(drug_1, drug_2) AS drug_1, greatest(drug_1, drug_2) AS drug_2, max(label) AS label FROM recs WHERE strategy = 'random_pair' GROUP BY 1, 2, 3)"
 _LAB_ALL = "lab AS (SELECT relation, least(drug_1, drug_2) AS drug_1, greatest(drug_1, drug_2) AS drug_2, max(label) AS label FROM recs GROUP BY 1, 2, 3)"
 _HELD = f"""held AS (SELECT drug FROM (SELECT drug, row_number() OVER (ORDER BY {_h('drug')}) - 1 AS k, count(*) OVER () AS n FROM (SELECT drug_1 AS drug FROM lab UNION SELECT drug_2 FROM lab)) WHERE k < greatest(1, floor(n * 0.2e0)))"""
@@ -301,10 +288,6 @@ def oracle_sql() -> dict[str, str]:
     relation = """e AS (SELECT relation, a AS x FROM ab UNION ALL SELECT relation, b FROM ab),
         pd AS (SELECT relation, i, round(avg(x[i]), 6) AS x FROM e, range(1, 65) AS r(i) GROUP BY relation, i), rw AS (SELECT relation, list(x ORDER BY i) AS w FROM pd GROUP BY relation)"""
     out = {
-        "negatives_random": with_views("triples", f"{_RANDOM} SELECT * FROM neg"),
-        "negatives_structured": with_views("triples", f"{_STRUCTURED} SELECT * FROM neg"),
-        "negatives_random_full": with_views("triples", f"{_RANDOM_FULL} SELECT * FROM neg"),
-        "negatives_structured_full": with_views("triples", f"{_STRUCTURED_FULL} SELECT * FROM neg"),
         "random_tail_corruption": with_views("triples", f"{_FREQ}, {_DRUGS} SELECT relation, drug_1, drug_2, d.drug AS tail FROM freq, nd JOIN d ON place = {_slot(_h('relation', 'drug_1', 'drug_2'), 'n')}"),
         "heldout_drugs": with_views("recs", f"{_LAB}, {_HELD} SELECT drug FROM held"),
         "split_sizes": with_views("recs", f"{_LAB}, {', '.join(_SPLITS.values())} " + " UNION ALL ".join(f"SELECT {_SIZES}, '{s}' AS strategy FROM s_{s}" for s in _SPLITS)),
@@ -340,9 +323,9 @@ def oracle_sql() -> dict[str, str]:
         ),
     }
     known = "SELECT count(*) AS n_negatives, round(count(q.drug_1) * 100e0 / count(*), 2) AS pct_known, '{}' AS strategy FROM neg LEFT JOIN (SELECT DISTINCT drug_1, drug_2 FROM freq) q ON q.drug_1 = neg.drug_1 AND q.drug_2 = neg.drug_2"
-    out["negative_known_pct"] = f"SELECT * FROM ({with_views('triples', _RANDOM + ' ' + known.format('random'))}) UNION ALL SELECT * FROM ({with_views('triples', _STRUCTURED + ' ' + known.format('structured'))})"
-    out["negative_known_pct_full"] = " UNION ALL ".join(f"SELECT * FROM ({with_views('triples', sql + ' ' + known.format(k))})" for k, sql in (("random_full", _RANDOM_FULL), ("structured_full", _STRUCTURED_FULL)))
-    kinds = (("random", _RANDOM), ("structured", _STRUCTURED))
+    out |= {f"negatives_{k}{name}": with_views("triples", f"{sql(r)} SELECT * FROM neg") for k, sql in _NEGATIVES.items() for name, r in RATIOS.items()}
+    out["negative_known_pct"] = out["negative_known_pct_full"] = " UNION ALL ".join(f"SELECT * FROM ({with_views('triples', sql() + ' ' + known.format(k))})" for k, sql in _NEGATIVES.items())
+    kinds = tuple((k, sql()) for k, sql in _NEGATIVES.items())
     labelled = " UNION ALL ".join(f"SELECT '{k}:' || relation AS relation, drug_1, drug_2, 1 AS label FROM freq UNION ALL SELECT '{k}:' || relation, drug_1, drug_2, 0 FROM neg_{k}" for k, _ in kinds)
     drawn = ", ".join(f"neg_{k} AS ({with_views('triples', sql)} SELECT relation, drug_1, drug_2 FROM neg)" for k, sql in kinds)
     counts = " UNION ALL ".join(f"SELECT split_part(relation, ':', 1) AS negatives, '{s}' AS strategy, {', '.join(f'count(*) FILTER (fold = {chr(39)}{f}{chr(39)}) AS n_{f}' for f in ('train', 'val', 'test'))} FROM s_{s} GROUP BY 1" for s in _SPLITS)

@@ -48,37 +48,33 @@ def test_coverage_and_degree(spark, triples):
     assert degree == {"A": 5, "B": 3, "C": 2, "D": 1, "E": 1}
 
 
+@pytest.mark.parametrize("ratio", [0.5, 1.0, 2.0])
 @pytest.mark.parametrize("strategy", ["random", "structured"])
-def test_negatives_are_no_positives(many, strategy):
-    t = many.select("relation", "drug_1", "drug_2").distinct()
-    neg = [tuple(r) for r in sampling.sample_negatives(t, strategy).collect()]
-    pos = {tuple(r) for r in t.collect()}
-    assert neg and len(set(neg)) == len(neg) and not pos & set(neg) and all(a < b for _, a, b in neg)
-    assert len(neg) <= len(pos)
-    if strategy == "structured":
-        assert {p[1:] for p in neg} <= {p[1:] for p in pos}
-    assert sorted(neg) == sorted(tuple(r) for r in sampling.sample_negatives(t.repartition(7), strategy).collect())
-    with pytest.raises(ValueError):
-        sampling.sample_negatives(t, "other")
-
-
-@pytest.mark.parametrize("strategy", ["random_full", "structured_full"])
-def test_full_negatives_lose_none(spark, many, strategy):
+def test_negatives_have_their_number(spark, many, strategy, ratio):
     hot = [("hot", f"d{i:03}", f"d{j:03}") for i in range(30) for j in range(i + 1, 30) if (i * j) % 5]
-    t = many.select("relation", "drug_1", "drug_2").distinct().unionByName(spark.createDataFrame(hot, "relation string, drug_1 string, drug_2 string"))
+    t = many.select("relation", "drug_1", "drug_2").distinct().unionByName(spark.createDataFrame([*hot, ("self", "d001", "d001")], "relation string, drug_1 string, drug_2 string"))
     pos = {tuple(r) for r in t.collect()}
-    neg = [tuple(r) for r in sampling.sample_negatives(t, strategy).collect()]
+    neg = [tuple(r) for r in sampling.sample_negatives(t, strategy, ratio=ratio).collect()]
     drugs = {d for p in pos for d in p[1:]}
     assert len(set(neg)) == len(neg) and not pos & set(neg) and all(a < b and {a, b} <= drugs for _, a, b in neg)
-    known = {p[1:] for p in pos}
+    known = {p[1:] for p in pos if p[1] != p[2]}
     for relation in {p[0] for p in pos}:
-        n, free = sum(p[0] == relation for p in pos), len(known) - sum(p[0] == relation for p in pos)
-        assert sum(r[0] == relation for r in neg) == min(n, len(drugs) * (len(drugs) - 1) // 2 - n)
-        if strategy == "structured_full":
-            assert sum(r[0] == relation and r[1:] in known for r in neg) >= min(n, free)
-    assert sorted(neg) == sorted(tuple(r) for r in sampling.sample_negatives(t.repartition(7), strategy).collect())
-    full = spark.createDataFrame([("all", "A", "B"), ("all", "A", "C"), ("all", "B", "C")], t.schema)
+        own = {p[1:] for p in pos if p[0] == relation}
+        wanted = max(1, int(len(own) * ratio))
+        apart = len([p for p in own if p[0] != p[1]])
+        assert sum(r[0] == relation for r in neg) == min(wanted, len(drugs) * (len(drugs) - 1) // 2 - apart)
+        if strategy == "structured":
+            assert sum(r[0] == relation and r[1:] in known for r in neg) == min(wanted, len(known - own))
+    assert sorted(neg) == sorted(tuple(r) for r in sampling.sample_negatives(t.repartition(7), strategy, ratio=ratio).collect())
+
+
+@pytest.mark.parametrize("strategy", ["random", "structured"])
+def test_negatives_of_full_and_empty_tables(spark, strategy):
+    full = spark.createDataFrame([("all", "A", "B"), ("all", "A", "C"), ("all", "B", "C")], "relation string, drug_1 string, drug_2 string")
     assert sampling.sample_negatives(full, strategy).count() == 0
+    assert sampling.sample_negatives(full.limit(0), strategy).count() == 0
+    with pytest.raises(ValueError):
+        sampling.sample_negatives(full, "other")
 
 
 @pytest.mark.parametrize("strategy", sorted(splitting.STRATEGIES))
@@ -255,3 +251,10 @@ def test_every_relation_is_a_category(spark):
         assert metrics.ranking_metrics(scored, ["fold"]).first()["auroc"] > 0.95
     single = df.filter("features[0] <> 1")  # as many training rows as relations
     assert models.gbt_scores(single, ["relation"], rounds=2, category="relation").count() == 40
+
+
+def test_products_beyond_64_bits(spark):
+    q = (1 << 42) - 11
+    rows = [(q - 1 - i, q - 7 * i - 1) for i in range(50)]
+    got = spark.createDataFrame(rows, "a bigint, b bigint").select(sampling._product_mod(F.col("a"), F.col("b"), q).alias("p")).collect()
+    assert [r["p"] for r in got] == [a * b % q for a, b in rows]
