@@ -29,15 +29,14 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans, _, _ = pii.find_personal(table(spark, sf_dir, "documents"), WorkTables(spark, "personal"))
-    return spans.select("doc_id", "kind", "found_text").distinct()
+    return pii.find_personal(table(spark, sf_dir, "documents"), WorkTables(spark, "personal")).select("doc_id", "kind", "found_text").distinct()
 
 
 def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with typed placeholders."""
     documents = table(spark, sf_dir, "documents")
-    _, names, accepted = pii.find_personal(documents, WorkTables(spark, "personal"))
-    return pii.redact(documents, names, accepted)
+    tables = WorkTables(spark, "personal")
+    return pii.redact(documents, tables.save(pii.find_personal(documents, tables), "accepted"))
 
 
 def queries() -> dict:
