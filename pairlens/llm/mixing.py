@@ -29,19 +29,30 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: the run; texts are cut between words, where the pattern cuts them too, into parts of about this size.
 PART = 100_000
 
+#: Bytes of a vocabulary file, at most; it is handed to every task.
+MAX_VOCABULARY = 32 << 20
+
 _ENCODINGS: dict = {}
 
 
-def _encoding(directory: str, vocabulary: str):
-    """The tokenizer, read once per Python worker."""
-    path = os.path.join(directory, vocabulary)
-    if path not in _ENCODINGS:
+def _read(directory: str, vocabulary: str) -> bytes:
+    """The vocabulary file, read on the driver; executors need no copy of their own."""
+    with open(os.path.join(directory, vocabulary), "rb") as file:
+        content = file.read(MAX_VOCABULARY + 1)
+    if len(content) > MAX_VOCABULARY:
+        raise ValueError(f"{vocabulary} has more than {MAX_VOCABULARY} bytes")
+    return content
+
+
+def _encoding(content: bytes, vocabulary: str):
+    """The tokenizer, built once per Python worker."""
+    key = vocabulary, len(content), hash(content)
+    if key not in _ENCODINGS:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        _ENCODINGS[path] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}
+        _ENCODINGS[key] = tiktoken.Encoding(vocabulary, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _ENCODINGS[key]
 
 
 _CUT = re.compile(r"(?<=\S)(?= \w)")
@@ -64,8 +75,10 @@ def count_tokens(encode, text: str | None) -> int:
 def token_counts(documents: DataFrame, directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, source, n_tokens`` of every document."""
 
+    shared = documents.sparkSession.sparkContext.broadcast(_read(directory, vocabulary))  # at most MAX_VOCABULARY
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(directory, vocabulary).encode_ordinary
+        encode = _encoding(shared.value, vocabulary).encode_ordinary
         for batch in batches:
             n = [count_tokens(encode, t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), batch.column("source"), pa.array(n, pa.int64())], names=["doc_id", "source", "n_tokens"])

@@ -108,7 +108,7 @@ needs_vocabulary = pytest.mark.skipif(not os.path.exists(os.path.join(mixing.TOK
 
 @needs_vocabulary
 def test_token_counts_in_parts():
-    encode = mixing._encoding(mixing.TOKENIZER_DIR, mixing.VOCABULARY).encode_ordinary
+    encode = mixing._encoding(mixing._read(mixing.TOKENIZER_DIR, mixing.VOCABULARY), mixing.VOCABULARY).encode_ordinary
     text = " ".join(random.Random(1).choice(["wort", "it's", "12,5", "\n\n", "  ", "élan", "_x_"]) for _ in range(60_000))
     assert mixing.count_tokens(encode, text) == len(encode(text)) and len(text) > 2 * mixing.PART
     assert mixing.count_tokens(encode, None) == mixing.count_tokens(encode, "") == 0
