@@ -33,7 +33,7 @@ def hashed_rank(df: DataFrame, groups: list[str], hashed: str, name: str = "rank
     whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(1))
     counts = counts.withColumns({"_before": F.sum("_n").over(whole.orderBy("_cell")) - F.col("_n"), size: F.sum("_n").over(whole)})
     in_cell = Window.partitionBy(*by).orderBy(hashed)
-    keyed = cell.join(counts.drop("_n"), by) if not groups else _null_safe_join(cell, counts.drop("_n"), by)
+    keyed = cell.join(counts.drop("_n"), by) if not groups else null_safe_join(cell, counts.drop("_n"), by)
     return keyed.withColumn(name, F.col("_before") + F.row_number().over(in_cell) - 1).drop("_cell", "_before")
 
 
@@ -51,7 +51,8 @@ def sorted_index(df: DataFrame, key: str, prefix: int, name: str = "id") -> Data
     return cell.join(counts, "_cell").withColumn(name, F.col("_before") + F.row_number().over(in_cell) - 1).drop("_cell", "_before")
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Inner join in which nulls of the given columns are equal; these columns stand once."""
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in by})
     on = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in by]
     return left.join(renamed, on).drop(*(f"_r_{c}" for c in by))

@@ -1,7 +1,8 @@
 """Exact ranking and threshold metrics per group, as grouped and windowed aggregates.
 
-Scores are first compacted to one row per (group, score) with its positives and negatives,
-so the windows run over distinct scores, not over rows.  Undefined metrics are null.
+Scores are first compacted to one row per (group, score) with its positives and negatives.
+Sums down the ranking are taken in two steps: over cells of the score, a group's few, and
+then inside each cell; so no task ranks a whole group.  Undefined metrics are null.
 """
 
 from __future__ import annotations
@@ -10,13 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairlens.functions.hashing import null_safe_join
+
+#: Cells of the score in a range of one.
+CELLS = 1024
+
 
 def score_levels(scored: DataFrame, by: list[str]) -> DataFrame:
     """``score, tp, fp`` at each distinct score and the cumulated ``ctp, cfp`` from the highest, with ``p, n``."""
-    levels = scored.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") == 0).alias("fp"))
-    group = Window.partitionBy(*by)
-    down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return levels.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down), "p": F.sum("tp").over(group), "n": F.sum("fp").over(group)})
+    levels = scored.groupBy(*by, "score").agg(F.count_if(F.col("label") == 1).alias("tp"), F.count_if(F.col("label") == 0).alias("fp")).withColumn("_cell", F.floor(F.col("score") * CELLS))
+    cells = levels.groupBy(*by, "_cell").agg(F.sum("tp").alias("_tp"), F.sum("fp").alias("_fp"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    over = group.orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = lambda c: F.sum(c).over(over) - F.col(c)
+    sums = cells.withColumns({"_tp_before": before("_tp"), "_fp_before": before("_fp"), "p": F.sum("_tp").over(group), "n": F.sum("_fp").over(group)}).drop("_tp", "_fp")
+    down = Window.partitionBy(*by, "_cell").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = levels.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down)})
+    return null_safe_join(ranked, sums, [*by, "_cell"]).withColumns({"ctp": F.col("ctp") + F.col("_tp_before"), "cfp": F.col("cfp") + F.col("_fp_before")}).drop("_cell", "_tp_before", "_fp_before")
 
 
 def ranking_metrics(scored: DataFrame, by: list[str]) -> DataFrame:

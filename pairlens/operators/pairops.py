@@ -80,6 +80,28 @@ def dot(*vectors: Column) -> Column:
     return F.aggregate(product, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def simple_score(h1: Column, r1: Column, t2: Column, h2: Column, r2: Column, t1: Column) -> Column:
+    """Half the sum of both directions; first and second tables of entities and relations."""
+    return (dot(h1, r1, t2) + dot(h2, r2, t1)) / 2
+
+
+def trivec_score(h: tuple[Column, ...], r: tuple[Column, ...], t: tuple[Column, ...]) -> Column:
+    """h1 r1 t3 + h2 r2 t2 + h3 r3 t1, with three tables each."""
+    return dot(h[0], r[0], t[2]) + dot(h[1], r[1], t[1]) + dot(h[2], r[2], t[0])
+
+
+def basis_matrix(weights: Column, bases: Column) -> Column:
+    """A relation's matrix: the sum of basis matrices (array of arrays of rows) by its weights."""
+    scaled = F.zip_with(weights, bases, lambda a, m: F.transform(m, lambda row: F.transform(row, lambda x: a * x)))
+    add = lambda m, n: F.zip_with(m, n, lambda p, q: F.zip_with(p, q, lambda x, y: x + y))
+    return F.aggregate(F.slice(scaled, 2, F.size(scaled) - 1), F.get(scaled, F.lit(0)), add)
+
+
+def bilinear_score(a: Column, matrix: Column, b: Column) -> Column:
+    """a' M b for a full matrix, as an array of rows."""
+    return dot(a, F.transform(matrix, lambda row: dot(row, b)))
+
+
 FEATURE_MODES = ("target_only", "fp_only", "target+fp", "all")
 
 

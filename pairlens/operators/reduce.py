@@ -22,9 +22,6 @@ from pyspark.sql import types as T
 from pairlens.functions.hashing import content_hash, hash_slot, hashed_rank
 from pairlens.plans.worktables import WorkTables
 
-#: Columns up to which singular vectors come from the Gram matrix in one pass.
-MAX_GRAM = 2048
-
 
 def dense_columns(profiles: DataFrame, item: str) -> DataFrame:
     """Adds ``place`` (from 0) of each item in hashed order, and ``n_items``."""
@@ -52,13 +49,12 @@ def svd_embedding(profiles: DataFrame, row: str, item: str, value: str, k: int,
     matrix = RowMatrix(rows)
     n_rows, n_cols = matrix.numRows(), matrix.numCols()
     k = max(1, min(k, n_cols - 1, n_rows - 1))
-    if n_cols <= MAX_GRAM:  # one pass; the Gram matrix has at most MAX_GRAM squared cells
-        v = np.linalg.eigh(matrix.computeGramianMatrix().toArray())[1][:, ::-1][:, :k]
-    else:
-        v = matrix.computeSVD(k, computeU=False).V.toArray()  # items x k
+    v = matrix.computeSVD(k, computeU=False).V.toArray()  # items x k
     rows.unpersist()
-    project = F.udf(lambda f: [float(x) for x in f.values @ v[f.indices]], T.ArrayType(T.DoubleType()))
-    return vectors.select(row, project("features").alias("embedding"))
+    places = F.broadcast(vectors.sparkSession.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "place bigint, axis array<double>"))  # items x k, as on the driver
+    parts = dense_columns(profiles, item).join(places, "place").select(row, value, "axis")
+    sums = parts.groupBy(row).agg(*(F.sum(F.col(value) * F.get("axis", F.lit(i))).alias(f"x{i}") for i in range(k)))
+    return sums.select(row, F.array(*(f"x{i}" for i in range(k))).alias("embedding"))
 
 
 def pca_embedding(vectors: DataFrame, row: str, vector: str, k: int) -> DataFrame:
@@ -101,25 +97,38 @@ def mean_vectors(profiles: DataFrame, gene_vectors: DataFrame) -> DataFrame:
     return means.groupBy("drug").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vector"))  # one entry per dimension
 
 
+def _products(batches):
+    """The rows of X'[X Y], summed over all batches of a task."""
+    total = None
+    for pdf in batches:
+        if len(pdf):
+            x = np.stack(pdf["features"].to_numpy()).astype(float)
+            part = x.T @ np.concatenate([x, np.stack(pdf["vector"].to_numpy()).astype(float)], axis=1)
+            total = part if total is None else total + part
+    if total is not None:
+        yield pd.DataFrame({"i": range(len(total)), "row": list(total)})
+
+
+def _row_sum(column: str):
+    """Elementwise sum of arrays of one length."""
+    add = lambda acc, x: F.when(F.size(acc) == 0, x).otherwise(F.zip_with(acc, x, lambda a, b: a + b))
+    return [F.aggregate(F.collect_list(column), F.array().cast("array<double>"), add).alias(column)]  # one array per task
+
+
 def ridge_map(features: DataFrame, known: DataFrame, key: str, alpha: float = 1.0) -> DataFrame:
     """``key, vector, is_known``: known vectors as they are, others predicted by ridge regression.
 
-    ``features`` and ``known`` hold dense arrays.  The normal equations are sums of products
-    over all training rows, taken per pair of dimensions; only these (dimensions squared)
-    reach the driver.
+    ``features`` and ``known`` hold dense arrays of one length each.  A task sums the products
+    X'[X Y] of its rows, Spark adds them up; only these (dimensions squared) reach the driver.
     """
-    train = features.join(known, key)
-    f = lambda a, b: train.select(F.posexplode(a).alias("i", "x"), F.col(b)).select("i", "x", F.posexplode(b).alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("s")).collect()
-    gram, cross = f("features", "features"), f("features", "vector")
-    if not gram:
+    train = features.join(known, key).select("features", "vector")
+    sums = train.mapInPandas(_products, "i int, row array<double>").groupBy("i").agg(*_row_sum("row")).collect()  # dimensions of the features; each row's sum
+    if not sums:
         return features.select(key, F.lit(None).cast("array<double>").alias("vector"), F.lit(False).alias("is_known"))
-    d, m = max(r["i"] for r in gram) + 1, max(r["j"] for r in cross) + 1
-    a, b = np.zeros((d, d)), np.zeros((d, m))
-    for r in gram:
-        a[r["i"], r["j"]] = r["s"]
-    for r in cross:
-        b[r["i"], r["j"]] = r["s"]
-    w = np.linalg.solve(a + alpha * np.eye(d), b)
+    both = np.array([r["row"] for r in sorted(sums, key=lambda r: r["i"])])
+    d = len(both)
+    w = np.linalg.solve(both[:, :d] + alpha * np.eye(d), both[:, d:])
+    m = w.shape[1]
     columns = [F.aggregate(F.zip_with("features", F.array(*(F.lit(float(x)) for x in w[:, j])), lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x) for j in range(m)]
     predicted = features.select(key, F.array(*columns).alias("predicted"))
     return predicted.join(known, key, "left").select(key, F.coalesce("vector", "predicted").alias("vector"), F.col("vector").isNotNull().alias("is_known"))

@@ -28,6 +28,11 @@ def frequent_relations(spark, sf_dir):
     return _freq(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def relations_by_size(spark, sf_dir):
+    """Coverage of the relations, smallest first."""
+    return relation_coverage(spark, sf_dir).select("relation", "n_pairs", "pct_missing", "pct_both_missing").orderBy("n_pairs", "relation")
+
+
 def relation_names(spark, sf_dir):
     counts = frequent_relations(spark, sf_dir)
     return counts.join(g.relation_names(spark, sf_dir), "relation", "left").select("relation", F.coalesce("relation_name", "relation").alias("relation_name"), "n_pairs")
@@ -111,7 +116,7 @@ def drug_numbers(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (relation_coverage, frequent_relations, relation_names, dataset_summary, relation_describe, degree_stats, relations_per_pair, size_bins, missing_bins, target_regime_counts, endpoint_setops, hist_pairs, hist_log_degree, smiles_coverage, drug_numbers)
+    fs = (relation_coverage, frequent_relations, relations_by_size, relation_names, dataset_summary, relation_describe, degree_stats, relations_per_pair, size_bins, missing_bins, target_regime_counts, endpoint_setops, hist_pairs, hist_log_degree, smiles_coverage, drug_numbers)
     return {f.__name__: f for f in fs}
 
 
@@ -138,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'n_genes', count(DISTINCT x) FROM (SELECT gene_1 AS x FROM net UNION ALL SELECT gene_2 FROM net)"""
     return {
         "relation_coverage": with_views("triples tgt", f"{f}, {_COVERAGE} SELECT * FROM cov"),
+        "relations_by_size": with_views("triples tgt", f"{f}, {_COVERAGE} SELECT relation, n_pairs, pct_missing, pct_both_missing FROM cov"),
         "frequent_relations": with_views("triples", f"{rel} SELECT * FROM r"),
         "relation_names": with_views(
             "triples",

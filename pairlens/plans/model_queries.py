@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.operators import graph, metrics, models, pairops, reduce
+from pairlens.operators import explore, graph, metrics, models, pairops, reduce, sampling, splitting
+from pairlens.plans.explore_queries import MIN_PAIRS
 from pairlens.plans.worktables import WorkTables
 from pairlens.sources import graph_views as g
 
@@ -94,8 +95,59 @@ def mlp_metrics(spark, sf_dir):
     return metrics.ranking_metrics(scored, ["relation", "fold"])
 
 
+def _means(scored, by):
+    """Mean metrics over the relations with both classes in the test fold."""
+    per = metrics.ranking_metrics(scored.filter("fold = 'test'"), [*by, "relation"]).filter("auroc IS NOT NULL")
+    return metrics.mean_and_std(per, by, ["auroc", "ap"])
+
+
+def _fitted(spark, folded, vectors, operator, keep):
+    """Scores of boosted trees over the pair features of one configuration."""
+    features = WorkTables(spark, "ablation").save(pairops.pair_features(folded, vectors, operator), "features")
+    return models.gbt_scores(features, keep, category="relation")
+
+
+def _union(parts):
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _cold(spark, sf_dir):
+    return g.split_records(spark, sf_dir).filter("strategy = 'drug_cold_start'")
+
+
+def operator_ablation(spark, sf_dir):
+    """Mean cold-start metrics of boosted trees for each pair operator."""
+    vectors = g.drug_vectors(spark, sf_dir, "graph_svd")
+    return _union([_means(_fitted(spark, _cold(spark, sf_dir), vectors, o, ["relation", "fold"]), []).withColumn("operator", F.lit(o)) for o in ("hadamard", "absdiff", "hadamard_absdiff", "sum", "concat")])
+
+
+def feature_ablation(spark, sf_dir):
+    """Mean cold-start metrics by feature mode and target regime: two vector methods, alone and joined."""
+    a, b = g.drug_vectors(spark, sf_dir, "graph_svd"), g.drug_vectors(spark, sf_dir, "node2vec")
+    zeros = F.array_repeat(F.lit(0.0), 64)
+    both = a.join(b.withColumnRenamed("vector", "v2"), "drug", "full_outer").select("drug", F.concat(F.coalesce("vector", zeros), F.coalesce("v2", zeros)).alias("vector"))
+    rows = explore.regime_of_pairs(_cold(spark, sf_dir), g.targets(spark, sf_dir))
+    modes = {"target_only": a, "fp_only": b, "target+fp": both}
+    return _union([_means(_fitted(spark, rows, v, "hadamard_absdiff", ["relation", "fold", "regime"]), ["regime"]).withColumn("feature_mode", F.lit(m)) for m, v in modes.items()])
+
+
+def negative_ablation(spark, sf_dir):
+    """Mean cold-start metrics of the same positives against each kind of negatives."""
+    t = g.frequent_triples(spark, sf_dir, MIN_PAIRS)
+    vectors = g.drug_vectors(spark, sf_dir, "graph_svd")
+    parts = []
+    for kind in sampling.STRATEGIES:
+        labelled = t.withColumn("label", F.lit(1)).unionByName(sampling.sample_negatives(t, kind).withColumn("label", F.lit(0)))
+        folded = splitting.split(WorkTables(spark, "ablation").save(labelled, "labelled"), "drug_cold_start")
+        parts.append(_means(_fitted(spark, folded, vectors, "hadamard_absdiff", ["relation", "fold"]), []).withColumn("negatives", F.lit(kind)))
+    return _union(parts)
+
+
 def queries() -> dict:
-    fs = (svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, kernel_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics)
+    fs = (operator_ablation, feature_ablation, negative_ablation, svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, kernel_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics)
     return {f.__name__: f for f in fs}
 
 

@@ -99,6 +99,41 @@ def by_stratum(spark, sf_dir):
     return metrics.mean_by(joined, ["mode", "size_bin", "missing_bin"], ["auroc", "ap"])
 
 
+def results_with_meta(spark, sf_dir):
+    """Every result with its relation's size and missing bins; results of rare relations stay, with nulls."""
+    meta = _meta(spark, sf_dir).withColumnRenamed("relation", "meta_relation")
+    joined = _results(spark, sf_dir).join(meta, F.col("relation") == F.col("meta_relation"), "left").drop("meta_relation")
+    return joined.select("relation", "strategy", "mode", "auroc", "ap", "n_pairs", "pct_missing", "size_bin", "missing_bin")
+
+
+#: Readable names of modes; others keep their own.
+MODE_NAMES = {"drug_1": "first drug", "drug_2": "second drug"}
+
+
+def protocol_table(spark, sf_dir):
+    """Mean AUROC of every mode by strategy, and how much the random split flatters it; sorted by name."""
+    p = metrics.pivot_mean(_results(spark, sf_dir), ["mode"], "strategy", list(STRATEGIES), "auroc")
+    names = F.create_map(*(F.lit(x) for pair in MODE_NAMES.items() for x in pair))
+    means = [F.round(F.col(c) + 1e-9, 4).alias(c) for c in STRATEGIES]
+    return p.select(F.coalesce(names[F.col("mode")], F.col("mode")).alias("name"), *means, F.round(F.col("random_pair") - F.col("drug_cold_start") + 1e-9, 4).alias("inflation")).orderBy("name")
+
+
+def strong_slices(spark, sf_dir):
+    """Results of one slice: cold start, both drugs, at least 0.5 AUROC and two positives; best first, then by relation."""
+    wanted = (F.col("strategy") == "drug_cold_start") & (F.col("mode") == "both") & (F.col("auroc") >= 0.5) & (F.col("n_pos") >= 2)
+    return _results(spark, sf_dir).filter(wanted).select("relation", "auroc", "ap").orderBy(F.desc("auroc"), "relation")
+
+
+def known_endpoints(spark, sf_dir):
+    """Validation and test rows of which both drugs stand in the train fold of their strategy."""
+    r = g.split_records(spark, sf_dir)
+    seen = r.filter("fold = 'train'").select("strategy", F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct()
+    held = r.filter("fold <> 'train'")
+    for c in ("drug_1", "drug_2"):
+        held = held.join(seen.withColumnRenamed("drug", c), ["strategy", c], "left_semi")
+    return held.select("row_id", "strategy", "fold")
+
+
 def ablation_table(spark, sf_dir):
     return metrics.mean_by(_results(spark, sf_dir), ["mode", "strategy"], list(MEASURES))
 
@@ -134,11 +169,11 @@ def representative_table(spark, sf_dir):
     """Results of the five largest relations, with their names."""
     top = g.frequent_triples(spark, sf_dir, MIN_PAIRS).groupBy("relation").agg(F.count(F.lit(1)).alias("n_pairs")).orderBy(F.desc("n_pairs"), "relation").limit(5)
     named = top.join(g.relation_names(spark, sf_dir), "relation", "left")
-    return _results(spark, sf_dir).join(named, "relation").select("relation", "relation_name", "n_pairs", "strategy", "mode", "auroc", "ap")
+    return _results(spark, sf_dir).join(named, "relation").select("relation", "relation_name", "n_pairs", "strategy", "mode", "auroc", "ap").orderBy(F.desc("n_pairs"), "relation", "strategy", "mode")
 
 
 def queries() -> dict:
-    fs = (metrics_by_group, threshold_metrics, regime_metrics, roc_pr_points, best_f1_threshold, class_ratio, adaptive_sizes, quartile_strata, results_table, results_summary, by_stratum, ablation_table, leaderboard_top10, pivot_delta, pivot_inflation, heatmap_strata, representative_table)
+    fs = (metrics_by_group, threshold_metrics, regime_metrics, roc_pr_points, best_f1_threshold, class_ratio, adaptive_sizes, quartile_strata, results_table, results_summary, results_with_meta, protocol_table, strong_slices, known_endpoints, by_stratum, ablation_table, leaderboard_top10, pivot_delta, pivot_inflation, heatmap_strata, representative_table)
     return {f.__name__: f for f in fs}
 
 
@@ -202,6 +237,12 @@ def oracle_sql() -> dict[str, str]:
         "quartile_strata": with_views("triples tgt", f"{_strata_sql()} SELECT * FROM st"),
         "results_table": with_views(v, f"{_RES} SELECT * FROM res"),
         "results_summary": with_views(v, f"{_RES} SELECT strategy, mode, count(*) AS n_rows, {', '.join(f'round(avg({m}) + 1e-9, 4) AS {m}_mean, round(stddev_samp({m}), 4) AS {m}_std' for m in MEASURES)} FROM res GROUP BY 1, 2"),
+        "results_with_meta": with_views("recs tgt triples", f"{_RES}, {_strata_sql()} SELECT relation, strategy, mode, auroc, ap, n_pairs, pct_missing, size_bin, missing_bin FROM res LEFT JOIN st USING (relation)"),
+        "protocol_table": with_views(v, f"""{_RES}, p AS (SELECT mode, {pivot('strategy', STRATEGIES, 'auroc')} FROM res GROUP BY 1) SELECT CASE mode {' '.join(f"WHEN '{m}' THEN '{n}'" for m, n in MODE_NAMES.items())} ELSE mode END AS name,
+            {', '.join(f'round({c} + 1e-9, 4) AS {c}' for c in STRATEGIES)}, round(random_pair - drug_cold_start + 1e-9, 4) AS inflation FROM p"""),
+        "strong_slices": with_views(v, f"{_RES} SELECT relation, auroc, ap FROM res WHERE strategy = 'drug_cold_start' AND mode = 'both' AND auroc >= 0.5 AND n_pos >= 2"),
+        "known_endpoints": with_views("recs", """s AS (SELECT strategy, drug_1 AS drug FROM recs WHERE fold = 'train' UNION SELECT strategy, drug_2 FROM recs WHERE fold = 'train')
+            SELECT row_id, strategy, fold FROM recs r WHERE fold <> 'train' AND EXISTS (SELECT 1 FROM s WHERE s.strategy = r.strategy AND s.drug = drug_1) AND EXISTS (SELECT 1 FROM s WHERE s.strategy = r.strategy AND s.drug = drug_2)"""),
         "by_stratum": with_views("recs tgt triples", f"{both} SELECT mode, size_bin, missing_bin, round(avg(auroc) + 1e-9, 4) AS auroc, round(avg(ap) + 1e-9, 4) AS ap FROM js GROUP BY 1, 2, 3"),
         "ablation_table": with_views(v, f"{_RES} SELECT mode, strategy, {means} FROM res GROUP BY 1, 2"),
         "leaderboard_top10": with_views(v, f"{_RES} SELECT strategy, mode, round(avg(auroc) + 1e-9, 4) AS auroc, round(avg(ap) + 1e-9, 4) AS ap FROM res GROUP BY 1, 2 ORDER BY auroc DESC, ap DESC, strategy, mode LIMIT 10"),

@@ -258,3 +258,36 @@ def test_products_beyond_64_bits(spark):
     rows = [(q - 1 - i, q - 7 * i - 1) for i in range(50)]
     got = spark.createDataFrame(rows, "a bigint, b bigint").select(sampling._product_mod(F.col("a"), F.col("b"), q).alias("p")).collect()
     assert [r["p"] for r in got] == [a * b % q for a, b in rows]
+
+
+def test_scores_with_real_tables_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    names = ("h1", "h2", "h3", "r1", "r2", "r3", "t1", "t2", "t3")
+    x = {n: rng.normal(size=(20, 6)) for n in names}
+    weights, bases, m = rng.normal(size=(20, 3)), rng.normal(size=(3, 6, 6)), []
+    rows = [(i, *([float(v) for v in x[n][i]] for n in names), [float(v) for v in weights[i]], bases.tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{n} array<double>" for n in names) + ", w array<double>, b array<array<array<double>>>")
+    c = F.col
+    scored = df.select(
+        "i",
+        pairops.simple_score(c("h1"), c("r1"), c("t2"), c("h2"), c("r2"), c("t1")).alias("simple"),
+        pairops.trivec_score((c("h1"), c("h2"), c("h3")), (c("r1"), c("r2"), c("r3")), (c("t1"), c("t2"), c("t3"))).alias("trivec"),
+        pairops.bilinear_score(c("h1"), pairops.basis_matrix(c("w"), c("b")), c("t1")).alias("bilinear"),
+    ).orderBy("i").toPandas()
+    three = lambda a, b, d: (x[a] * x[b] * x[d]).sum(axis=1)
+    assert np.allclose(scored["simple"], (three("h1", "r1", "t2") + three("h2", "r2", "t1")) / 2)
+    assert np.allclose(scored["trivec"], three("h1", "r1", "t3") + three("h2", "r2", "t2") + three("h3", "r3", "t1"))
+    assert np.allclose(scored["bilinear"], np.einsum("nd,nde,ne->n", x["h1"], np.einsum("nk,kde->nde", weights, bases), x["t1"]))
+
+
+def test_ranking_metrics_with_many_scores_and_null_groups(spark):
+    """Cells of the score change nothing, whatever its range."""
+    rng = np.random.default_rng(8)
+    rows = [(None if i % 3 else "a", int(rng.random() < 0.4), float(np.round(rng.normal() * 30, 2))) for i in range(600)]
+    df = spark.createDataFrame(rows, "grp string, label int, score double")
+    got = {r["grp"]: r["auroc"] for r in metrics.ranking_metrics(df, ["grp"]).collect()}
+    for grp in (None, "a"):
+        pos = np.array([s for k, y, s in rows if k == grp and y])
+        neg = np.array([s for k, y, s in rows if k == grp and not y])
+        want = ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+        assert got[grp] == pytest.approx(want, abs=1e-4)
