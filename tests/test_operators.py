@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ def test_coverage_and_degree(spark, triples):
     assert degree == {"A": 5, "B": 3, "C": 2, "D": 1, "E": 1}
 
 
-@pytest.mark.parametrize("ratio", [0.5, 1.0, 2.0])
+@pytest.mark.parametrize("ratio", [0.5, 2.0])
 @pytest.mark.parametrize("strategy", ["random", "structured"])
 def test_negatives_have_their_number(spark, many, strategy, ratio):
     hot = [("hot", f"d{i:03}", f"d{j:03}") for i in range(30) for j in range(i + 1, 30) if (i * j) % 5]
@@ -193,7 +194,6 @@ def test_jaccard_against_brute_force(spark, t):
 
 
 def test_svd_against_numpy(spark):
-    import numpy as np
 
     rng = np.random.default_rng(0)
     a = rng.random((12, 6)) * (rng.random((12, 6)) < 0.6)
@@ -207,7 +207,6 @@ def test_svd_against_numpy(spark):
 
 
 def test_ridge_against_numpy(spark):
-    import numpy as np
 
     rng = np.random.default_rng(1)
     x, w = rng.random((20, 3)), rng.random((3, 2))
@@ -221,7 +220,6 @@ def test_ridge_against_numpy(spark):
 
 
 def test_ridge_query_keeps_whole_vectors(spark, tmp_path):
-    import numpy as np
 
     rng = np.random.default_rng(4)
     x = rng.random((80, 64)).round(3)
