@@ -105,8 +105,19 @@ def bilinear_score(a: Column, matrix: Column, b: Column) -> Column:
 FEATURE_MODES = ("target_only", "fp_only", "target+fp", "all")
 
 
-def feature_mode(profile: Column, embedding: Column, fingerprint: Column, mode: str) -> Column:
+def feature_store(vectors: DataFrame, blocks: dict[str, str], width: int) -> DataFrame:
+    """One row per drug with a column for each block; zeros where the drug lacks a vector of the block's method.
+
+    ``blocks`` maps a block to its method; a drug has at most one vector of a method.
+    """
+    zeros = F.array_repeat(F.lit(0.0), width)
+    found = vectors.groupBy("drug").agg(*(F.max(F.when(F.col("method") == m, F.col("vector"))).alias(b) for b, m in blocks.items()))
+    return found.select("drug", *(F.coalesce(b, zeros).alias(b) for b in blocks))
+
+
+def feature_mode(profile: Column | str, embedding: Column | str, fingerprint: Column | str, mode: str) -> Column:
     """A drug's features for a mode; null blocks must have been replaced by zeros before."""
     if mode not in FEATURE_MODES:
         raise ValueError(f"unknown feature mode {mode!r}; choose from {FEATURE_MODES}")
+    profile, embedding, fingerprint = (F.col(c) if isinstance(c, str) else c for c in (profile, embedding, fingerprint))
     return {"target_only": embedding, "fp_only": fingerprint, "target+fp": F.concat(embedding, fingerprint), "all": F.concat(profile, embedding, fingerprint)}[mode]

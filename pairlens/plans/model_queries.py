@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pairlens.operators import explore, graph, metrics, models, pairops, reduce, sampling, splitting
+from pairlens.operators import explore, graph, group_models, metrics, models, pairops, reduce, sampling, splitting
 from pairlens.plans.explore_queries import MIN_PAIRS
-from pairlens.plans.worktables import WorkTables
+from pairlens.plans.worktables import WorkTables, cached
 from pairlens.sources import graph_views as g
 
 DIM = 16
+#: Blocks of a drug's features by the method of vectors that fills them, and the width of each.
+BLOCKS = {"profile": "graph_svd", "embedding": "pca", "fingerprint": "node2vec"}
+WIDTH = 64
+MEASURES = ["auroc", "ap", "f1", "precision", "recall"]
 
 
 def _profiles(spark, sf_dir, tables, hops=2):
@@ -77,22 +81,79 @@ def ridge_coldstart(spark, sf_dir):
     return reduce.ridge_map(features, known, "drug").select("drug", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"), "is_known")
 
 
-def _folded(spark, sf_dir):
-    r = g.split_records(spark, sf_dir).filter("strategy = 'random_pair'")
-    f = pairops.pair_features(r, g.drug_vectors(spark, sf_dir, "graph_svd"), "hadamard_absdiff")
-    return WorkTables(spark, "model").save(f, "features")
+def _split_inputs(sf_dir):
+    return [f"{sf_dir}/split_rows.parquet", f"{sf_dir}/embedding_result.parquet"]
+
+
+def _sharded(spark, sf_dir):
+    return group_models.with_shards(g.split_records(spark, sf_dir), ["strategy", "relation"], "row_id")
+
+
+def _fits(spark, sf_dir):
+    """Scores of every model, fitted for each strategy, method of vectors and relation on all its rows; kept in a session."""
+
+    def build():
+        features = pairops.pair_features(_sharded(spark, sf_dir), g.method_vectors(spark, sf_dir), "hadamard_absdiff")
+        return group_models.group_scores(features, ["strategy", "method", "relation"], ["fold"], list(group_models.MODELS))
+
+    return cached(spark, "fits", _split_inputs(sf_dir), build)
+
+
+def _fold_metrics(spark, sf_dir, model):
+    return metrics.ranking_metrics(_fits(spark, sf_dir).filter(F.col("model") == model), ["strategy", "method", "relation", "fold"])
 
 
 def gbt_metrics(spark, sf_dir):
-    """Boosted trees over all relations, each a category of its own: metrics per relation and fold."""
-    scored = models.gbt_scores(_folded(spark, sf_dir), ["relation", "fold"], category="relation")
-    return metrics.ranking_metrics(scored, ["relation", "fold"])
+    """Boosted trees of each strategy, method and relation, stopped early: metrics by fold."""
+    return _fold_metrics(spark, sf_dir, "gbt_stopped")
 
 
 def mlp_metrics(spark, sf_dir):
-    """A perceptron over all relations, each an input of its own: metrics per relation and fold."""
-    scored = models.mlp_scores(_folded(spark, sf_dir), ["relation", "fold"], category="relation")
-    return metrics.ranking_metrics(scored, ["relation", "fold"])
+    """Perceptrons of three hidden layers of each strategy, method and relation: metrics by fold."""
+    return _fold_metrics(spark, sf_dir, "mlp")
+
+
+def experiment_results(spark, sf_dir):
+    """Test metrics of every model, strategy, method and relation with both classes in its test rows."""
+    scored, by = _fits(spark, sf_dir).filter("fold = 'test'"), ["model", "strategy", "method", "relation"]
+    return metrics.ranking_metrics(scored, by).join(metrics.threshold_metrics(scored, by), by).filter("auroc IS NOT NULL")
+
+
+def experiment_summary(spark, sf_dir):
+    """Mean and deviation over relations; by model, then strategy, best first."""
+    means = metrics.mean_and_std(experiment_results(spark, sf_dir), ["model", "strategy", "method"], MEASURES)
+    return means.orderBy("model", "strategy", F.desc("auroc_mean"), "method")
+
+
+def reduction_ablation(spark, sf_dir):
+    """Mean test metrics of early-stopped trees by method of the vectors and strategy, best first."""
+    fitted = experiment_results(spark, sf_dir).filter("model = 'gbt_stopped'")
+    return metrics.mean_and_std(fitted, ["method", "strategy"], ["auroc", "ap"]).orderBy("strategy", F.desc("auroc_mean"), "method")
+
+
+def model_protocols(spark, sf_dir):
+    """Mean AUROC of every model and method under each strategy, and how much the random split flatters it."""
+    p = metrics.pivot_mean(experiment_results(spark, sf_dir), ["model", "method"], "strategy", list(splitting.STRATEGIES), "auroc")
+    means = [F.round(c, 4).alias(c) for c in splitting.STRATEGIES]
+    return p.select("model", "method", *means, F.round(F.col("random_pair") - F.col("drug_cold_start"), 4).alias("inflation")).orderBy("model", "method")
+
+
+def _pooled(spark, sf_dir, score):
+    """Metrics per strategy, relation and fold of one model per strategy over all relations and the vectors of all methods."""
+    vectors = pairops.feature_store(g.method_vectors(spark, sf_dir), BLOCKS, WIDTH).select("drug", pairops.feature_mode(*BLOCKS, mode="all").alias("vector"))
+    features = WorkTables(spark, "model").save(pairops.pair_features(g.split_records(spark, sf_dir), vectors, "hadamard_absdiff"), "features", dictionary=False)
+    parts = [score(features.filter(F.col("strategy") == s), ["strategy", "relation", "fold"], category="relation") for s in splitting.STRATEGIES]
+    return metrics.ranking_metrics(_union(parts), ["strategy", "relation", "fold"])
+
+
+def gbt_multitask(spark, sf_dir):
+    """Boosted trees with the relation as a category."""
+    return _pooled(spark, sf_dir, models.gbt_scores)
+
+
+def mlp_multitask(spark, sf_dir):
+    """A perceptron with an input for each relation."""
+    return _pooled(spark, sf_dir, models.mlp_scores)
 
 
 def _means(scored, by):
@@ -101,12 +162,6 @@ def _means(scored, by):
     return metrics.mean_and_std(per, by, ["auroc", "ap"])
 
 
-def _fitted(spark, folded, vectors, operator, keep):
-    """Scores of boosted trees over the pair features of one configuration."""
-    features = WorkTables(spark, "ablation").save(pairops.pair_features(folded, vectors, operator), "features")
-    return models.gbt_scores(features, keep, category="relation")
-
-
 def _union(parts):
     out = parts[0]
     for p in parts[1:]:
@@ -114,40 +169,57 @@ def _union(parts):
     return out
 
 
-def _cold(spark, sf_dir):
-    return g.split_records(spark, sf_dir).filter("strategy = 'drug_cold_start'")
+def operator_ablation(spark, sf_dir):
+    """Mean test metrics of early-stopped trees per relation, for each pair operator, strategy and method."""
+    rows, vectors = WorkTables(spark, "ablation").save(_sharded(spark, sf_dir), "rows"), g.method_vectors(spark, sf_dir)
+    features = _union([pairops.pair_features(rows, vectors, o).withColumn("operator", F.lit(o)) for o in pairops.OPERATORS])
+    by = ["operator", "strategy", "method"]
+    return _means(group_models.group_scores(features, [*by, "relation"], ["fold"], ["gbt_stopped"]), by)
+
 
+def _feature_scores(spark, sf_dir):
+    """Scores by feature mode, strategy and target regime; drugs without a block have zeros there."""
 
-def operator_ablation(spark, sf_dir):
-    """Mean cold-start metrics of boosted trees for each pair operator."""
-    vectors = g.drug_vectors(spark, sf_dir, "graph_svd")
-    return _union([_means(_fitted(spark, _cold(spark, sf_dir), vectors, o, ["relation", "fold"]), []).withColumn("operator", F.lit(o)) for o in ("hadamard", "absdiff", "hadamard_absdiff", "sum", "concat")])
+    def build():
+        store = pairops.feature_store(g.method_vectors(spark, sf_dir), BLOCKS, WIDTH)
+        modes = F.array(*(F.struct(F.lit(m).alias("method"), pairops.feature_mode(*BLOCKS, mode=m).alias("vector")) for m in pairops.FEATURE_MODES))
+        rows = explore.regime_of_pairs(_sharded(spark, sf_dir), g.targets(spark, sf_dir))
+        features = pairops.pair_features(rows, store.select("drug", F.inline(modes)), "hadamard_absdiff").withColumnRenamed("method", "feature_mode")
+        return group_models.group_scores(features, ["feature_mode", "strategy", "relation"], ["fold", "regime"], ["gbt_stopped"])
+
+    return cached(spark, "feature-scores", [*_split_inputs(sf_dir), f"{sf_dir}/targets.parquet"], build)
 
 
 def feature_ablation(spark, sf_dir):
-    """Mean cold-start metrics by feature mode and target regime: two vector methods, alone and joined."""
-    a, b = g.drug_vectors(spark, sf_dir, "graph_svd"), g.drug_vectors(spark, sf_dir, "node2vec")
-    zeros = F.array_repeat(F.lit(0.0), 64)
-    both = a.join(b.withColumnRenamed("vector", "v2"), "drug", "full_outer").select("drug", F.concat(F.coalesce("vector", zeros), F.coalesce("v2", zeros)).alias("vector"))
-    rows = explore.regime_of_pairs(_cold(spark, sf_dir), g.targets(spark, sf_dir))
-    modes = {"target_only": a, "fp_only": b, "target+fp": both}
-    return _union([_means(_fitted(spark, rows, v, "hadamard_absdiff", ["relation", "fold", "regime"]), ["regime"]).withColumn("feature_mode", F.lit(m)) for m, v in modes.items()])
+    """Mean test metrics by feature mode, strategy and target regime of early-stopped trees per relation."""
+    return _means(_feature_scores(spark, sf_dir), ["feature_mode", "strategy", "regime"])
+
+
+def feature_delta(spark, sf_dir):
+    """Mean gain in AP of both blocks over the embedding alone, per strategy and regime, over relations."""
+    per = metrics.ranking_metrics(_feature_scores(spark, sf_dir).filter("fold = 'test'"), ["feature_mode", "strategy", "regime", "relation"])
+    p = metrics.pivot_mean(per, ["strategy", "regime", "relation"], "feature_mode", list(pairops.FEATURE_MODES), "ap")
+    delta = F.col("`target+fp`") - F.col("target_only")
+    return p.groupBy("strategy", "regime").agg(F.count(delta).alias("n_relations"), F.round(F.avg(delta), 4).alias("delta_ap_fp")).orderBy("strategy", "regime")
 
 
 def negative_ablation(spark, sf_dir):
-    """Mean cold-start metrics of the same positives against each kind of negatives."""
+    """Mean cold-start metrics of the same positives against each kind of negatives, by method of the vectors."""
     t = g.frequent_triples(spark, sf_dir, MIN_PAIRS)
-    vectors = g.drug_vectors(spark, sf_dir, "graph_svd")
     parts = []
     for kind in sampling.STRATEGIES:
         labelled = t.withColumn("label", F.lit(1)).unionByName(sampling.sample_negatives(t, kind).withColumn("label", F.lit(0)))
-        folded = splitting.split(WorkTables(spark, "ablation").save(labelled, "labelled"), "drug_cold_start")
-        parts.append(_means(_fitted(spark, folded, vectors, "hadamard_absdiff", ["relation", "fold"]), []).withColumn("negatives", F.lit(kind)))
-    return _union(parts)
+        parts.append(splitting.split(WorkTables(spark, "ablation").save(labelled, "labelled"), "drug_cold_start").withColumn("negatives", F.lit(kind)))
+    rows = _union(parts).withColumn("place", F.xxhash64("drug_1", "drug_2", "label"))
+    rows = group_models.with_shards(rows, ["negatives", "relation"], "place")
+    features = pairops.pair_features(rows, g.method_vectors(spark, sf_dir), "hadamard_absdiff")
+    by = ["negatives", "method"]
+    return _means(group_models.group_scores(features, [*by, "relation"], ["fold"], ["gbt_stopped"]), by)
 
 
 def queries() -> dict:
-    fs = (operator_ablation, feature_ablation, negative_ablation, svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, kernel_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics)
+    fs = (svd_embedding, svd_train_only, diffused_svd, rwr_converged, pca_embedding, kernel_embedding, nonnegative_factors, walk_embedding, ridge_coldstart, gbt_metrics, mlp_metrics, gbt_multitask, mlp_multitask)
+    fs += (experiment_results, experiment_summary, reduction_ablation, model_protocols, operator_ablation, feature_ablation, feature_delta, negative_ablation)
     return {f.__name__: f for f in fs}
 
 

@@ -16,7 +16,8 @@ from pairlens.sources import graph_views as g
 N_WEAK = 98
 #: Negatives for each positive pair, by the ending of the query's name (``_full``: an older name of the first).
 RATIOS = {"": 1.0, "_full": 1.0, "_half": 0.5, "_double": 2.0}
-METHOD = "graph_svd"
+#: Queries that also go by an older name with ``_all``.
+WHOLE = ("heldout_drugs", "split_sizes", "compare_operators", *(f"split_{s}" for s in splitting.STRATEGIES), *(f"pair_{n}" for n in pairops.OPERATORS), *(f"score_{k}" for k in ("distmult", "simple", "trivec", "bilinear")))
 #: Vectors of 64 dimensions that make up a drug's features in each mode.
 MODE_BLOCKS = {"target_only": 1, "fp_only": 1, "target+fp": 2, "all": 3}
 
@@ -25,9 +26,9 @@ def _freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.frequent_triples(spark, sf_dir, MIN_PAIRS)
 
 
-def _labelled(spark, sf_dir, every=False):
-    """Distinct labelled pairs of the random-pair strategy's rows, or of all rows; of conflicting labels the larger."""
-    r = g.split_records(spark, sf_dir).filter(F.lit(every) | (F.col("strategy") == "random_pair"))
+def _labelled(spark, sf_dir):
+    """Distinct labelled pairs of all rows; of conflicting labels the larger."""
+    r = g.split_records(spark, sf_dir)
     lo, hi = F.least("drug_1", "drug_2").alias("drug_1"), F.greatest("drug_1", "drug_2").alias("drug_2")
     return r.select("relation", lo, hi, "label").groupBy("relation", "drug_1", "drug_2").agg(F.max("label").alias("label"))
 
@@ -51,18 +52,13 @@ def heldout_drugs(spark, sf_dir):
     return splitting.heldout_drugs(_labelled(spark, sf_dir))
 
 
-def heldout_drugs_all(spark, sf_dir):
-    """Held-out drugs of the labelled pairs of every row."""
-    return splitting.heldout_drugs(_labelled(spark, sf_dir, True))
+def _split(spark, sf_dir, strategy):
+    return splitting.split(_labelled(spark, sf_dir), strategy).select("relation", "drug_1", "drug_2", "label", "fold")
 
 
-def _split(spark, sf_dir, strategy, every=False):
-    return splitting.split(_labelled(spark, sf_dir, every), strategy).select("relation", "drug_1", "drug_2", "label", "fold")
-
-
-def split_sizes(spark, sf_dir, every=False):
+def split_sizes(spark, sf_dir):
     """Sizes of all three strategies."""
-    parts = [splitting.split_sizes(_split(spark, sf_dir, s, every), []).withColumn("strategy", F.lit(s)) for s in splitting.STRATEGIES]
+    parts = [splitting.split_sizes(_split(spark, sf_dir, s), []).withColumn("strategy", F.lit(s)) for s in splitting.STRATEGIES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -91,30 +87,22 @@ def triple_index_selfloops(spark, sf_dir):
     return t.select("relation", F.col("drug_1").alias("head"), F.col("drug_2").alias("tail")).unionByName(loops).groupBy("relation").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("head") == F.col("tail")).alias("n_loops"))
 
 
-def _vectors(spark, sf_dir, every):
-    return g.method_vectors(spark, sf_dir) if every else g.drug_vectors(spark, sf_dir, METHOD)
-
-
-def _by(every):
-    return ["method"] if every else []
-
-
-def _pair_summary(spark, sf_dir, name, every=False):
-    """Width, rounded sum and extremes of each pair's features; of every row's pairs also by method of the vectors."""
-    pairs = _labelled(spark, sf_dir, every).select("relation", "drug_1", "drug_2")
-    f = pairops.pair_features(pairs, _vectors(spark, sf_dir, every), name)
+def _pair_summary(spark, sf_dir, name):
+    """Width, rounded sum and extremes of each pair's features, by method of the vectors."""
+    pairs = _labelled(spark, sf_dir).select("relation", "drug_1", "drug_2")
+    f = pairops.pair_features(pairs, g.method_vectors(spark, sf_dir), name)
     total = F.aggregate("features", F.lit(0.0), lambda acc, x: acc + x)
-    return f.select(*_by(every), "relation", "drug_1", "drug_2", F.size("features").cast("bigint").alias("width"), (F.round(total, 4) + 0.0).alias("total"), (F.round(F.array_max("features"), 6) + 0.0).alias("largest"), (F.round(F.element_at("features", -1), 6) + 0.0).alias("last"))
+    return f.select("method", "relation", "drug_1", "drug_2", F.size("features").cast("bigint").alias("width"), (F.round(total, 4) + 0.0).alias("total"), (F.round(F.array_max("features"), 6) + 0.0).alias("largest"), (F.round(F.element_at("features", -1), 6) + 0.0).alias("last"))
 
 
-def compare_operators(spark, sf_dir, every=False):
-    """Mean width and total of every operator over all pairs that have vectors.
+def compare_operators(spark, sf_dir):
+    """Mean width and total of every operator over all pairs that have vectors, by method of these.
 
     Totals have four digits and are summed as decimals, so the mean depends on no order of rows.
     """
     out = None
     for name in pairops.OPERATORS:
-        row = _pair_summary(spark, sf_dir, name, every).groupBy(*_by(every)).agg(F.count(F.lit(1)).alias("n_pairs"), F.max("width").alias("width"), (F.sum(F.col("total").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("mean_total")).withColumn("operator", F.lit(name))
+        row = _pair_summary(spark, sf_dir, name).groupBy("method").agg(F.count(F.lit(1)).alias("n_pairs"), F.max("width").alias("width"), (F.sum(F.col("total").cast("decimal(18,4)")).cast("double") / F.count(F.lit(1))).alias("mean_total")).withColumn("operator", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -144,14 +132,14 @@ def _choices() -> list[tuple[str, str, int]]:
     return [(m, o, 64 * blocks * times) for m, blocks in MODE_BLOCKS.items() for o, (_, times) in pairops.OPERATORS.items()]
 
 
-def _scores(spark, sf_dir, kind, every=False):
-    """Triple scores with pca, graph_svd and node2vec vectors as entity tables and relation weights.
+def _scores(spark, sf_dir, kind):
+    """Triple scores with the vectors of each method as entity table.
 
     A relation's vector is the mean vector of its training drugs.
     """
-    pairs = _labelled(spark, sf_dir, every).select("relation", "drug_1", "drug_2")
-    base = pairops.with_vectors(pairs, _vectors(spark, sf_dir, every))
-    by = [*_by(every), "relation"]
+    pairs = _labelled(spark, sf_dir).select("relation", "drug_1", "drug_2")
+    base = pairops.with_vectors(pairs, g.method_vectors(spark, sf_dir))
+    by = ["method", "relation"]
     ends = base.select(*by, "a").unionByName(base.select(*by, F.col("b").alias("a")))
     per_dim = ends.select(*by, F.posexplode("a").alias("i", "x")).groupBy(*by, "i").agg(F.round(F.avg("x"), 6).alias("x"))
     relation = per_dim.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("w"))  # one entry per dimension
@@ -192,8 +180,7 @@ def queries() -> dict:
     out |= {f"split_{s}": partial(_split, strategy=s) for s in splitting.STRATEGIES}
     out |= {f"pair_{n}": partial(_pair_summary, name=n) for n in pairops.OPERATORS}
     out |= {f"score_{k}": partial(_scores, kind=k) for k in ("distmult", "simple", "trivec", "bilinear")}
-    out |= {f"{n}_all": partial(f, every=True) for n, f in out.items() if n.startswith(("pair_", "score_")) or n in ("split_sizes", "compare_operators") or n in {f"split_{s}" for s in splitting.STRATEGIES}}
-    return out | {"heldout_drugs_all": heldout_drugs_all}
+    return out | {f"{n}_all": out[n] for n in WHOLE}
 
 
 # --- the same in SQL ------------------------------------------------------------------------
@@ -235,8 +222,7 @@ def _structured_sql(ratio: float = 1.0) -> str:
 
 
 _NEGATIVES = {"random": _random_sql, "structured": _structured_sql}
-_LAB = "lab AS (SELECT relation, least(drug_1, drug_2) AS drug_1, greatest(drug_1, drug_2) AS drug_2, max(label) AS label FROM recs WHERE strategy = 'random_pair' GROUP BY 1, 2, 3)"
-_LAB_ALL = "lab AS (SELECT relation, least(drug_1, drug_2) AS drug_1, greatest(drug_1, drug_2) AS drug_2, max(label) AS label FROM recs GROUP BY 1, 2, 3)"
+_LAB = "lab AS (SELECT relation, least(drug_1, drug_2) AS drug_1, greatest(drug_1, drug_2) AS drug_2, max(label) AS label FROM recs GROUP BY 1, 2, 3)"
 _HELD = f"""held AS (SELECT drug FROM (SELECT drug, row_number() OVER (ORDER BY {_h('drug')}) - 1 AS k, count(*) OVER () AS n FROM (SELECT drug_1 AS drug FROM lab UNION SELECT drug_2 FROM lab)) WHERE k < greatest(1, floor(n * 0.2e0)))"""
 
 
@@ -260,17 +246,11 @@ _ELEM = {
 _ELEM["hadamard_absdiff"] = f"list_concat({_ELEM['hadamard']}, {_ELEM['absdiff']})"
 _ELEM["concat_sym"] = "list_concat(list_transform(z, lambda p: (p[1] + p[2]) / 2), list_transform(z, lambda p: (p[1] + p[2]) / 2))"
 _ELEM["concat"] = "list_concat(a, b)"
-_VEC = f"v AS (SELECT drug, vector FROM vecs WHERE method = '{METHOD}'), ab AS (SELECT relation, drug_1, drug_2, x.vector AS a, y.vector AS b, list_zip(x.vector, y.vector) AS z FROM lab JOIN v x ON x.drug = drug_1 JOIN v y ON y.drug = drug_2)"
-
-_VEC_ALL = "ab AS (SELECT x.method, relation, drug_1, drug_2, x.vector AS a, y.vector AS b, list_zip(x.vector, y.vector) AS z FROM lab JOIN vecs x ON x.drug = drug_1 JOIN vecs y ON y.drug = drug_2 AND y.method = x.method)"
+_VEC = "ab AS (SELECT x.method, relation, drug_1, drug_2, x.vector AS a, y.vector AS b, list_zip(x.vector, y.vector) AS z FROM lab JOIN vecs x ON x.drug = drug_1 JOIN vecs y ON y.drug = drug_2 AND y.method = x.method)"
 
 
 def _summary(name: str) -> str:
-    return f"SELECT relation, drug_1, drug_2, len(f) AS width, round(list_sum(f), 4) + 0e0 AS total, round(list_max(f), 6) + 0e0 AS largest, round(f[-1], 6) + 0e0 AS last FROM (SELECT *, {_ELEM[name]} AS f FROM ab)"
-
-
-def _summary_all(name: str) -> str:
-    return _summary(name).replace("SELECT relation", "SELECT method, relation", 1)
+    return f"SELECT method, relation, drug_1, drug_2, len(f) AS width, round(list_sum(f), 4) + 0e0 AS total, round(list_max(f), 6) + 0e0 AS largest, round(f[-1], 6) + 0e0 AS last FROM (SELECT *, {_ELEM[name]} AS f FROM ab)"
 
 
 def _dot3(a: str, w: str, b: str) -> str:
@@ -285,8 +265,8 @@ def oracle_sql() -> dict[str, str]:
         "trivec": f"{_dot3('a', 'w', rev('b'))} + {_dot3(rev('a'), rev('w'), rev('b'))} + {_dot3(rev('a'), 'w', 'b')}",
         "bilinear": f"list_sum(list_transform(list_zip(a, w, b, {rev('w')}), lambda p: p[1] * p[2] * (p[3] * p[4])))",
     }
-    relation = """e AS (SELECT relation, a AS x FROM ab UNION ALL SELECT relation, b FROM ab),
-        pd AS (SELECT relation, i, round(avg(x[i]), 6) AS x FROM e, range(1, 65) AS r(i) GROUP BY relation, i), rw AS (SELECT relation, list(x ORDER BY i) AS w FROM pd GROUP BY relation)"""
+    relation = """e AS (SELECT method, relation, a AS x FROM ab UNION ALL SELECT method, relation, b FROM ab),
+        pd AS (SELECT method, relation, i, round(avg(x[i]), 6) AS x FROM e, range(1, 65) AS r(i) GROUP BY ALL), rw AS (SELECT method, relation, list(x ORDER BY i) AS w FROM pd GROUP BY ALL)"""
     out = {
         "random_tail_corruption": with_views("triples", f"{_FREQ}, {_DRUGS} SELECT relation, drug_1, drug_2, d.drug AS tail FROM freq, nd JOIN d ON place = {_slot(_h('relation', 'drug_1', 'drug_2'), 'n')}"),
         "heldout_drugs": with_views("recs", f"{_LAB}, {_HELD} SELECT drug FROM held"),
@@ -311,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
             f"""{_FREQ}, u AS (SELECT relation, drug_1 AS head, drug_2 AS tail FROM freq UNION ALL SELECT 'mono:' || mono_se, drug, drug FROM mon WHERE drug IN (SELECT drug_1 FROM freq UNION SELECT drug_2 FROM freq))
             SELECT relation, count(*) AS n_edges, count(*) FILTER (head = tail) AS n_loops FROM u GROUP BY relation""",
         ),
-        "compare_operators": with_views("recs vecs", f"{_LAB}, {_VEC} " + " UNION ALL ".join(f"SELECT count(*) AS n_pairs, max(width) AS width, CAST(sum(CAST(total AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS mean_total, '{n}' AS operator FROM ({_summary(n)})" for n in pairops.OPERATORS)),
+        "compare_operators": with_views("recs vecs", f"{_LAB}, {_VEC} " + " UNION ALL ".join(f"SELECT method, count(*) AS n_pairs, max(width) AS width, CAST(sum(CAST(total AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS mean_total, '{n}' AS operator FROM ({_summary(n)}) GROUP BY method" for n in pairops.OPERATORS)),
         "feature_modes": with_views(
             "triples vecs",
             f"""{_FREQ}, d AS (SELECT drug_1 AS drug FROM freq UNION SELECT drug_2 FROM freq), zero AS (SELECT list_transform(range(64), lambda i: 0e0) AS o),
@@ -335,13 +315,5 @@ def oracle_sql() -> dict[str, str]:
     )
     out |= {f"split_{s}": with_views("recs", f"{_LAB}, {_SPLITS[s]} SELECT * FROM s_{s}") for s in _SPLITS}
     out |= {f"pair_{n}": with_views("recs vecs", f"{_LAB}, {_VEC} {_summary(n)}") for n in pairops.OPERATORS}
-    out |= {f"score_{k}": with_views("recs vecs", f"{_LAB}, {_VEC}, {relation} SELECT relation, drug_1, drug_2, round({sql}, 6) + 0e0 AS score FROM ab JOIN rw USING (relation)") for k, sql in scores.items()}
-    relation_all = """e AS (SELECT method, relation, a AS x FROM ab UNION ALL SELECT method, relation, b FROM ab),
-        pd AS (SELECT method, relation, i, round(avg(x[i]), 6) AS x FROM e, range(1, 65) AS r(i) GROUP BY ALL), rw AS (SELECT method, relation, list(x ORDER BY i) AS w FROM pd GROUP BY ALL)"""
-    out["heldout_drugs_all"] = with_views("recs", f"{_LAB_ALL}, {_HELD} SELECT drug FROM held")
-    out["split_sizes_all"] = with_views("recs", f"{_LAB_ALL}, {', '.join(_SPLITS.values())} " + " UNION ALL ".join(f"SELECT {_SIZES}, '{s}' AS strategy FROM s_{s}" for s in _SPLITS))
-    out["compare_operators_all"] = with_views("recs vecs", f"{_LAB_ALL}, {_VEC_ALL} " + " UNION ALL ".join(f"SELECT method, count(*) AS n_pairs, max(width) AS width, CAST(sum(CAST(total AS DECIMAL(18, 4))) AS DOUBLE) / count(*) AS mean_total, '{n}' AS operator FROM ({_summary_all(n)}) GROUP BY method" for n in pairops.OPERATORS))
-    out |= {f"split_{s}_all": with_views("recs", f"{_LAB_ALL}, {_SPLITS[s]} SELECT * FROM s_{s}") for s in _SPLITS}
-    out |= {f"pair_{n}_all": with_views("recs vecs", f"{_LAB_ALL}, {_VEC_ALL} {_summary_all(n)}") for n in pairops.OPERATORS}
-    out |= {f"score_{k}_all": with_views("recs vecs", f"{_LAB_ALL}, {_VEC_ALL}, {relation_all} SELECT method, relation, drug_1, drug_2, round({sql}, 6) + 0e0 AS score FROM ab JOIN rw USING (method, relation)") for k, sql in scores.items()}
-    return out
+    out |= {f"score_{k}": with_views("recs vecs", f"{_LAB}, {_VEC}, {relation} SELECT method, relation, drug_1, drug_2, round({sql}, 6) + 0e0 AS score FROM ab JOIN rw USING (method, relation)") for k, sql in scores.items()}
+    return out | {f"{n}_all": out[n] for n in WHOLE}

@@ -63,9 +63,9 @@ def vector_report(spark, sf_dir):
 def unit_vectors(spark, sf_dir):
     """Norms before and after scaling each drug's vector to unit length; zero vectors stay zero."""
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x))
-    v = g.drug_vectors(spark, sf_dir, METHOD).withColumn("norm", norm("vector"))
+    v = g.method_vectors(spark, sf_dir).withColumn("norm", norm("vector"))
     unit = v.withColumn("unit", F.transform("vector", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)))
-    return unit.select("drug", F.round("norm", 6).alias("norm"), F.round(norm("unit"), 6).alias("unit_norm"), (F.round(F.array_max("unit"), 6) + 0.0).alias("largest"))
+    return unit.select("method", "drug", F.round("norm", 6).alias("norm"), F.round(norm("unit"), 6).alias("unit_norm"), (F.round(F.array_max("unit"), 6) + 0.0).alias("largest"))
 
 
 def relation_messages(spark, sf_dir):
@@ -116,8 +116,8 @@ def oracle_sql() -> dict[str, str]:
             round(count(*) FILTER (has_target) * 100e0 / count(*), 2) AS pct_has_target, round(max(fit_time_s), 4) AS max_fit_time_s FROM embedding_result GROUP BY method""",
         "unit_vectors": with_views(
             "vecs",
-            f"""{v}, n AS (SELECT drug, vector, {norm('vector')} AS norm FROM v), u AS (SELECT drug, norm, {unit} AS unit FROM n)
-            SELECT drug, round(norm, 6) AS norm, round({norm('unit')}, 6) AS unit_norm, round(list_max(unit), 6) + 0e0 AS largest FROM u""",
+            f"""n AS (SELECT method, drug, vector, {norm('vector')} AS norm FROM vecs), u AS (SELECT method, drug, norm, {unit} AS unit FROM n)
+            SELECT method, drug, round(norm, 6) AS norm, round({norm('unit')}, 6) AS unit_norm, round(list_max(unit), 6) + 0e0 AS largest FROM u""",
         ),
         "relation_messages": with_views(
             "triples vecs",
