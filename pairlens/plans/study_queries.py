@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairlens.functions.hashing import sorted_index
-from pairlens.operators import graph, splitting
+from pairlens.operators import graph, pairops, splitting
 from pairlens.plans import result_queries
 from pairlens.plans.explore_queries import MIN_PAIRS
 from pairlens.plans.sql import frequent, with_views
@@ -42,6 +42,36 @@ def triple_index(spark, sf_dir):
     return t.join(heads, "drug_1").join(tails, "drug_2").join(relations, "relation").select("relation_id", "head_id", "tail_id")
 
 
+def triple_index_full(spark, sf_dir):
+    """The triples by dense ids and, after the last relation, each single-drug effect of a known drug as a self loop of a relation of its own."""
+    t = _freq(spark, sf_dir)
+    drugs = sorted_index(t.select(F.explode(F.array("drug_1", "drug_2")).alias("drug")).distinct(), "drug", ID_PREFIX, "id")
+    loops = g.mono(spark, sf_dir).join(drugs, "drug")
+    effects = sorted_index(loops.select("mono_se").distinct(), "mono_se", 3, "effect_id")
+    n_relations = t.agg(F.count_distinct("relation").alias("n_relations"))
+    own = loops.join(effects, "mono_se").join(F.broadcast(n_relations))  # one row
+    own = own.select((F.col("effect_id") + F.col("n_relations")).alias("relation_id"), F.col("id").alias("head_id"), F.col("id").alias("tail_id"))
+    return triple_index(spark, sf_dir).unionByName(own)
+
+
+def pair_effect_stats(spark, sf_dir):
+    """Side effects per drug pair: number of pairs, mean, largest and smallest."""
+    per = g.triples(spark, sf_dir).groupBy("drug_1", "drug_2").agg(F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count(F.lit(1)).alias("n_pairs"), (F.sum("n") / F.count(F.lit(1))).alias("mean_effects"), F.max("n").alias("max_effects"), F.min("n").alias("min_effects"))
+
+
+def relations_by_size(spark, sf_dir):
+    """Triples of every frequent relation, smallest first, then by name."""
+    return _freq(spark, sf_dir).groupBy("relation").agg(F.count(F.lit(1)).alias("n_pairs")).orderBy("n_pairs", "relation")
+
+
+def pair_probabilities(spark, sf_dir):
+    """The logistic function of each labelled row's vector product, cut to [-30, 30], by method."""
+    rows = g.split_records(spark, sf_dir).select("row_id", "drug_1", "drug_2")
+    x = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), pairops.dot(F.col("a"), F.col("b"))))
+    return pairops.with_vectors(rows, g.method_vectors(spark, sf_dir)).select("row_id", "method", F.round(1 / (1 + F.exp(-x)), 6).alias("probability"))
+
+
 def vector_report(spark, sf_dir):
     """Per method: vectors, empty and all-zero ones, dimensions, drugs with targets, fit time."""
     e = table(spark, sf_dir, "embedding_result").select("method", "embeddings", "has_target", "fit_time_s")
@@ -87,7 +117,7 @@ def inflation_summary(spark, sf_dir):
 
 
 def queries() -> dict:
-    fs = (edge_split, edge_subsample, triple_index, vector_report, unit_vectors, relation_messages, inflation_summary)
+    fs = (edge_split, edge_subsample, triple_index, triple_index_full, pair_effect_stats, relations_by_size, pair_probabilities, vector_report, unit_vectors, relation_messages, inflation_summary)
     return {f.__name__: f for f in fs}
 
 
@@ -111,6 +141,21 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS id FROM (SELECT DISTINCT relation FROM freq))
             SELECT s.id AS relation_id, a.id AS head_id, b.id AS tail_id FROM freq f JOIN d a ON a.drug = f.drug_1 JOIN d b ON b.drug = f.drug_2 JOIN s ON s.relation = f.relation""",
         ),
+        "triple_index_full": with_views(
+            "triples mon",
+            f"""{freq}, d AS (SELECT drug, row_number() OVER (ORDER BY drug) - 1 AS id FROM (SELECT drug_1 AS drug FROM freq UNION SELECT drug_2 FROM freq)),
+            s AS (SELECT relation, row_number() OVER (ORDER BY relation) - 1 AS id FROM (SELECT DISTINCT relation FROM freq)),
+            l AS (SELECT mono_se, id FROM mon JOIN d USING (drug)), m AS (SELECT mono_se, row_number() OVER (ORDER BY mono_se) - 1 AS effect_id FROM (SELECT DISTINCT mono_se FROM l))
+            SELECT s.id AS relation_id, a.id AS head_id, b.id AS tail_id FROM freq f JOIN d a ON a.drug = f.drug_1 JOIN d b ON b.drug = f.drug_2 JOIN s ON s.relation = f.relation
+            UNION ALL SELECT effect_id + (SELECT count(*) FROM s), id, id FROM l JOIN m USING (mono_se)""",
+        ),
+        "pair_effect_stats": with_views("triples", "p AS (SELECT count(*) AS n FROM triples GROUP BY drug_1, drug_2) SELECT count(*) AS n_pairs, CAST(sum(n) AS DOUBLE) / count(*) AS mean_effects, max(n) AS max_effects, min(n) AS min_effects FROM p"),
+        "relations_by_size": with_views("triples", f"{freq} SELECT relation, count(*) AS n_pairs FROM freq GROUP BY relation ORDER BY n_pairs, relation"),
+        "pair_probabilities": with_views(
+            "recs vecs",
+            """s AS (SELECT row_id, x.method, list_sum(list_transform(list_zip(x.vector, y.vector), lambda p: p[1] * p[2])) AS z FROM recs JOIN vecs x ON x.drug = drug_1 JOIN vecs y ON y.drug = drug_2 AND y.method = x.method)
+            SELECT row_id, method, round(1 / (1 + exp(-greatest(-30e0, least(30e0, z)))), 6) AS probability FROM s""",
+        ),
         "vector_report": f"""SELECT method, count(*) AS n_vectors, count(*) FILTER (embeddings IS NULL) AS n_null, count(*) FILTER ({zero}) AS n_zero,
             round(count(*) FILTER ({zero}) * 100e0 / count(*), 2) AS pct_zero, max(len(embeddings)) AS dims, count(*) FILTER (has_target) AS n_has_target,
             round(count(*) FILTER (has_target) * 100e0 / count(*), 2) AS pct_has_target, round(max(fit_time_s), 4) AS max_fit_time_s FROM embedding_result GROUP BY method""",
