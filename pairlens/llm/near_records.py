@@ -80,6 +80,8 @@ def near_texts(records: DataFrame) -> DataFrame:
     equal, or differ by one character in all three together, in either order of a and b.
     ``seeds`` is the number of common fingerprints on the best diagonal and ``coverage`` the
     share of the evaluation record's characters that the alignment matches.
+    All joins ask for a shuffle: to the planner fingerprints are as small as the saved records
+    they are made of, and saved records as their compressed files, so either might be broadcast.
     """
     text = lambda p, q: F.concat_ws("#", "s", p, q, F.lit(""))
     train = records.filter("is_train").select("text_id", "scope", text("a", "b").alias("text"))
@@ -88,7 +90,7 @@ def near_texts(records: DataFrame) -> DataFrame:
     schema = "text_id bigint, scope string, k int, h bigint, at int, size int"
     e = both_orders.mapInArrow(_cyclic_prints, schema).select("scope", "k", "h", F.col("text_id").alias("eval_id"), F.col("at").alias("p"), "size")
     t = train.mapInArrow(_cyclic_prints, schema).select("scope", "k", "h", F.col("text_id").alias("train_id"), F.col("at").alias("q"))
-    seeds = e.join(t, ["scope", "k", "h"]).groupBy("scope", "eval_id", "train_id", F.pmod(F.col("p") - F.col("q"), "size").alias("diagonal")).agg(F.count(F.lit(1)).alias("seeds"))
+    seeds = e.join(t.hint("merge"), ["scope", "k", "h"]).groupBy("scope", "eval_id", "train_id", F.pmod(F.col("p") - F.col("q"), "size").alias("diagonal")).agg(F.count(F.lit(1)).alias("seeds"))
     chains = seeds.groupBy("scope", "eval_id", "train_id").agg(F.max("seeds").alias("seeds"))
     left = held.select(F.col("text_id").alias("eval_id"), *(F.col(c).alias(f"e_{c}") for c in "abs"))
     right = records.filter("is_train").select(F.col("text_id").alias("train_id"), *(F.col(c).alias(f"t_{c}") for c in "abs"))
@@ -96,8 +98,8 @@ def near_texts(records: DataFrame) -> DataFrame:
     edits = edit("e_s", "t_s") + F.least(edit("e_a", "t_a") + edit("e_b", "t_b"), edit("e_a", "t_b") + edit("e_b", "t_a"))
     size = F.length("e_s") + F.length("e_a") + F.length("e_b")
     return (
-        chains.join(left, "eval_id")
-        .join(right, "train_id")
+        chains.join(left.hint("merge"), "eval_id")
+        .join(right.hint("merge"), "train_id")
         .withColumn("edits", edits)
         .filter("edits <= 1")
         .select("scope", "eval_id", "train_id", "edits", "seeds", (F.greatest(size - F.col("edits"), F.lit(0)) / size).alias("coverage"))
@@ -109,4 +111,4 @@ def members(rows: DataFrame, records: DataFrame, id_col: str, fields: tuple[str,
     x, y, s = (clean_value(F.col(f"`{f}`")) for f in fields)
     extra = [F.col(f"`{c}`").alias(f"k_{c}") for c in keep]
     keyed = rows.select(F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{scope}`").alias("scope"), side.alias("is_train"), F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), s.alias("s"), *extra)
-    return keyed.join(records.drop("copies"), ["scope", "is_train", "a", "b", "s"]).select("row_id", "text_id", "is_train", "scope", *(f"k_{c}" for c in keep))
+    return keyed.join(records.drop("copies").hint("merge"), ["scope", "is_train", "a", "b", "s"]).select("row_id", "text_id", "is_train", "scope", *(f"k_{c}" for c in keep))

@@ -48,8 +48,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = member.filter("NOT is_train").select(F.col("text_id").alias("eval_id"), F.col("row_id").alias("r1"))
     train = member.filter("is_train").select(F.col("text_id").alias("train_id"), F.col("row_id").alias("r2"))
     counts = lambda side, name: records.filter(side).select(F.col("text_id").alias(name), "copies")
-    with_held = spread_join(held, pairs.select("eval_id", "train_id"), counts("NOT is_train", "eval_id"), ["eval_id"], "copies", "r1")
-    joined = spread_join(train, with_held, counts("is_train", "train_id"), ["train_id"], "copies", "r2")
+    with_held = spread_join(held, pairs.select("eval_id", "train_id"), counts("NOT is_train", "eval_id"), ["eval_id"], "copies", "r1", shuffled=True)
+    joined = spread_join(train, with_held, counts("is_train", "train_id"), ["train_id"], "copies", "r2", shuffled=True)
     return joined.select(F.least("r1", "r2").alias("row_id_1"), F.greatest("r1", "r2").alias("row_id_2"))
 
 
@@ -57,7 +57,7 @@ def p2_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per strategy, fold and source: evaluation rows, and how many stand in train exactly or nearly."""
     rows, side, records, pairs = _parts(spark, sf_dir)
     best = pairs.groupBy(F.col("eval_id").alias("text_id")).agg(F.min("edits").alias("edits"), F.max("coverage").alias("coverage"))
-    held = members(rows.filter(~side), records, "row_id", FIELDS, "strategy", side, ("fold", "source")).join(best, "text_id", "left")
+    held = members(rows.filter(~side), records, "row_id", FIELDS, "strategy", side, ("fold", "source")).join(best.hint("merge"), "text_id", "left")
     exact, near = F.count_if(F.col("edits") == 0), F.count_if(F.col("edits") == 1)
     return held.groupBy(F.col("scope").alias("strategy"), F.col("k_fold").alias("fold"), F.col("k_source").alias("source")).agg(
         F.count(F.lit(1)).alias("n_rows"), exact.alias("n_exact"), near.alias("n_near"), F.round(F.avg(F.coalesce("coverage", F.lit(0.0))), 6).alias("mean_coverage")

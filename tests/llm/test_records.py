@@ -230,3 +230,14 @@ def test_near_records_against_brute_force(spark):
 def test_near_records_of_an_empty_table(spark):
     df = spark.createDataFrame([], "row_id bigint, drug_1 string, drug_2 string, side_effect string, fold string, strategy string")
     assert near_records.near_texts(near_records.distinct_records(df, "row_id", ("drug_1", "drug_2", "side_effect"), "strategy", F.col("fold") == "train")).count() == 0
+
+
+def test_near_records_are_not_broadcast(spark):
+    """Saved records look small to the planner; their fingerprints are many times as many."""
+    rows = [(i, f"CID0{i % 700:08}", f"CID0{i % 500:08}", "C0000001", "train" if i % 3 else "test", "s") for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id bigint, drug_1 string, drug_2 string, side_effect string, fold string, strategy string")
+    tables = WorkTables(spark, "t")
+    fields, side = ("drug_1", "drug_2", "side_effect"), F.col("fold") == "train"
+    records = tables.save(near_records.distinct_records(df, "row_id", fields, "strategy", side))
+    for frame in (near_records.near_texts(records), near_records.members(df, records, "row_id", fields, "strategy", side)):
+        assert frame.count() > 0 and "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
