@@ -12,10 +12,9 @@ from pairlens.sources import graph_views as g
 MIN_SIMILARITY = 0.3
 
 
-def _per_drug(profiles):
-    """Compact, order-free summary of long profiles."""
-    x = F.col("x")
-    return profiles.groupBy("drug").agg(F.count(F.lit(1)).alias("n_genes"), F.round(F.sum(x), 4).alias("total"), F.round(F.max(x), 6).alias("largest"))
+def _per_drug(sums):
+    """Rounded summary of each drug's profile."""
+    return sums.select("drug", "n_genes", F.round("total", 4).alias("total"), F.round("largest", 6).alias("largest"))
 
 
 def graph_degree_norm(spark, sf_dir):
@@ -36,20 +35,20 @@ def target_profiles(spark, sf_dir):
 
 def propagate_k2(spark, sf_dir):
     net = g.ppi(spark, sf_dir)
-    return _per_drug(graph.propagate(graph.target_profiles(g.targets(spark, sf_dir), net), net, 2, WorkTables(spark, "propagate")))
+    return _per_drug(graph.propagate(graph.target_profiles(g.targets(spark, sf_dir), net), net, 2, WorkTables(spark, "propagate"), summed=True))
 
 
 def diffuse_restart(spark, sf_dir):
     net = g.ppi(spark, sf_dir)
     x = graph.target_profiles(g.targets(spark, sf_dir), net)
-    return _per_drug(graph.diffuse(x, graph.row_normalised(net), 0.85, 0.15, 2, WorkTables(spark, "diffuse")))
+    return _per_drug(graph.diffuse(x, graph.row_normalised(net), 0.85, 0.15, 2, WorkTables(spark, "diffuse"), summed=True))
 
 
 def rwr_fixed_iters(spark, sf_dir):
     """Two rounds of the random walk with restart on the symmetric-normalised network."""
     net = g.ppi(spark, sf_dir)
     x = graph.target_profiles(g.targets(spark, sf_dir), net)
-    return _per_drug(graph.diffuse(x, graph.symmetric_normalised(net), 0.85, 0.15, 2, WorkTables(spark, "walk")))
+    return _per_drug(graph.diffuse(x, graph.symmetric_normalised(net), 0.85, 0.15, 2, WorkTables(spark, "walk"), summed=True))
 
 
 def mono_incidence(spark, sf_dir):

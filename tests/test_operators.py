@@ -174,6 +174,33 @@ def test_graph(spark):
     assert a == {k: pytest.approx(v, abs=1e-4) for k, v in b.items()}
 
 
+def test_profiles_are_filled_inside_tasks(spark, monkeypatch):
+    """No shuffle or saved table holds filled profiles; joins of a network that is too large give the same."""
+    import random
+
+    rng = random.Random(5)
+    ppi = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(150)], "gene_1 bigint, gene_2 bigint")
+    targets = spark.createDataFrame([(f"d{i:02}", rng.randrange(70)) for i in range(90) for _ in range(2)], "drug string, gene bigint").distinct()
+    x, tables, saved = graph.target_profiles(targets, ppi), WorkTables(spark, "test"), []
+    save = WorkTables.save
+    monkeypatch.setattr(WorkTables, "save", lambda self, df, name="t", **kw: saved.append(name) or save(self, df, name, **kw))
+    runs = [
+        lambda **kw: graph.propagate(x, ppi, 2, tables, **kw),
+        lambda **kw: graph.diffuse(x, graph.symmetric_normalised(ppi), 0.85, 0.15, 2, tables, **kw),
+        lambda **kw: graph.diffuse(x, graph.symmetric_normalised(ppi), 0.85, 0.15, 30, tables, 1e-3, **kw),
+    ]
+    monkeypatch.setattr(graph, "EDGES", 64)
+    local = [{(r["drug"], r["gene"]): r["x"] for r in run().collect()} for run in runs]
+    sums = [{r["drug"]: (r["n_genes"], r["total"], r["largest"]) for r in run(summed=True).collect()} for run in runs]
+    assert set(saved) == {"start", "weights"}
+    monkeypatch.setattr(graph, "MAX_EDGES", 0)
+    for run, values, summary in zip(runs, local, sums, strict=True):
+        joined = {(r["drug"], r["gene"]): r["x"] for r in run().collect()}
+        assert values == {k: pytest.approx(v) for k, v in joined.items()} and len(values) > 1000
+        of = {d: [v for (e, _), v in joined.items() if e == d] for d, _ in joined}
+        assert summary == {d: (len(v), pytest.approx(sum(v)), pytest.approx(max(v))) for d, v in of.items()}
+
+
 def test_jaccard_and_edges(spark):
     sets = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 9), ("b", 3)], "drug string, gene int")
     similar = graph.jaccard(sets, "drug", "gene")
