@@ -69,6 +69,20 @@ def test_negatives_have_their_number(spark, many, strategy, ratio):
     assert sorted(neg) == sorted(tuple(r) for r in sampling.sample_negatives(t.repartition(7), strategy, ratio=ratio).collect())
 
 
+@pytest.mark.parametrize("strategy", ["random", "structured"])
+def test_negatives_are_not_broadcast(spark, many, strategy, monkeypatch):
+    """Blocks of places look small to the planner, the pairs that come out of them are many."""
+    frames = []
+    save = WorkTables.save
+    monkeypatch.setattr(WorkTables, "save", lambda self, df, name="t", **kw: frames.append((name, df)) or save(self, df, name, **kw))
+    neg = sampling.sample_negatives(many.select("relation", "drug_1", "drug_2").distinct(), strategy)
+    for df in [neg] if strategy == "random" else [df for name, df in frames if name == "known"]:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        above = plan.split("Generate explode(slice(")[0]
+        assert "Generate explode(slice(" in plan and "BroadcastHashJoin" not in above and "SortMergeJoin" in above
+
+
 @pytest.mark.parametrize("strategy", ["random", "structured"])
 def test_negatives_of_full_and_empty_tables(spark, strategy):
     full = spark.createDataFrame([("all", "A", "B"), ("all", "A", "C"), ("all", "B", "C")], "relation string, drug_1 string, drug_2 string")
