@@ -6,8 +6,11 @@ algebra, whose Gram matrices are summed over partitions.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.feature import PCA, StandardScaler, Word2Vec
 from pyspark.ml.linalg import SparseVector, VectorUDT
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlens.functions.hashing import content_hash, hash_slot, hashed_rank
+from pairlens.operators import graph
 from pairlens.plans.worktables import WorkTables
 
 
@@ -57,6 +61,138 @@ def svd_embedding(profiles: DataFrame, row: str, item: str, value: str, k: int,
     return sums.select(row, F.array(*(f"x{i}" for i in range(k))).alias("embedding"))
 
 
+#: Axes beyond the wanted ones in a block of directions, blocks of a basis at most, and its bytes.
+SPARE, MAX_BLOCKS, BASIS_BYTES = 10, 12, 256 << 20
+#: Largest residual of an axis, as a share of the largest eigenvalue, and passes over the rows after which none is expected.
+RESIDUAL, MAX_PASSES = 1e-9, 300
+
+
+def _basis_block(new: np.ndarray, basis: np.ndarray | None, scale: float) -> np.ndarray:
+    """An orthonormal basis of what ``new`` adds to ``basis``."""
+    for _ in range(2):
+        if basis is not None:
+            new = new - basis @ (basis.T @ new)
+        left, size, _ = np.linalg.svd(new, full_matrices=False)
+        new = left[:, size > 1e-12 * scale]
+        scale = 1.0
+    return new
+
+
+def leading_axes(apply, n: int, k: int) -> np.ndarray:
+    """The k leading eigenvectors (n x k) of a symmetric operator without negative eigenvalues.
+
+    Block Krylov: each pass ``apply`` multiplies one block of directions; the axes are the best
+    in the space of all blocks.  It ends once every axis's residual is negligible.  A full basis starts
+    anew from its best axes and the next block.  Signs are such that the largest entry is positive.
+    """
+    width = min(n, k + SPARE)
+    most = max(3, min(MAX_BLOCKS, BASIS_BYTES // (16 * n * width)))
+    block = _basis_block(np.random.default_rng(7).normal(size=(n, width)), None, 1.0)
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    for _ in range(MAX_PASSES):
+        new = apply(block)
+        basis, image = np.concatenate([basis, block], axis=1), np.concatenate([image, new], axis=1)
+        inner = basis.T @ image
+        values, mix = np.linalg.eigh((inner + inner.T) / 2)
+        values, mix = values[::-1], mix[:, ::-1]
+        best = basis @ mix[:, :k]
+        residual = np.linalg.norm(image @ mix[:, :k] - best * values[:k], axis=0).max()
+        block = _basis_block(new, basis, max(values[0], 1e-300))
+        if residual <= RESIDUAL * values[0] or not block.shape[1]:
+            return best * np.where(np.take_along_axis(best, np.abs(best).argmax(axis=0)[None, :], axis=0) < 0, -1.0, 1.0)
+        if basis.shape[1] + block.shape[1] > most * width:
+            kept = mix[:, : 2 * width]
+            basis, image = basis @ kept, image @ kept
+    raise RuntimeError(f"no axes within {MAX_PASSES} passes: residual {residual / values[0]:.1e}")
+
+
+def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and values of all rows' entries, and where each row begins."""
+    lists = batch.column("places")
+    n = lists.value_lengths().to_numpy()
+    return lists.flatten().to_numpy(), batch.column("values").flatten().to_numpy(), np.cumsum(n) - n
+
+
+#: Genes whose sums are one row, on their way from the tasks.
+GENES = 1024
+
+
+def _gram(start: DataFrame, directions: np.ndarray, tables: WorkTables) -> np.ndarray:
+    """T'T times the directions (genes x some), T being the rows of ``start``: sums of tasks, added up by pieces of genes."""
+    shared = start.sparkSession.sparkContext.broadcast(directions)
+    n, width = directions.shape
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, width))
+        for batch in batches:
+            if batch.num_rows:
+                places, values, first = _entries(batch)
+                rows = np.add.reduceat(shared.value[places] * values[:, None], first, axis=0)
+                back = np.repeat(rows, np.diff(first, append=len(places)), axis=0) * values[:, None]
+                order = np.argsort(places, kind="stable")
+                found, at = np.unique(places[order], return_index=True)
+                total[found] += np.add.reduceat(back[order], at, axis=0)
+        at = [i for i in range(0, n, GENES) if total[i : i + GENES].any()]
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array([total[i : i + GENES].tobytes() for i in at], pa.binary())], names=["at", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, piece in zip(batch.column("at").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+                pieces[at] = pieces.get(at, 0) + np.frombuffer(piece)
+        yield pa.record_batch([pa.array(list(pieces), pa.int32()), pa.array([p.tobytes() for p in pieces.values()], pa.binary())], names=["at", "sums"])
+
+    schema, out = "at int, sums binary", np.zeros((n, width))
+    for r in start.mapInArrow(sums, schema).repartition("at").mapInArrow(added, schema).collect():  # genes x directions
+        piece = np.frombuffer(r["sums"]).reshape(-1, width)
+        out[r["at"] : r["at"] + len(piece)] = piece
+    shared.destroy()
+    tables.free()
+    return out
+
+
+def filled_svd(profiles: DataFrame, ppi: DataFrame, rounds: int, k: int, tables: WorkTables, keep: float = 1.0, restart: float = 0.0) -> DataFrame:
+    """``drug, embedding``: ``svd_embedding`` of the profiles after ``rounds`` of F <- keep * (F propagated) + restart * X.
+
+    The filled profiles are X L', L being the rounds over the network; so their products with
+    directions are those of the sparse X with directions that went over the network, and the
+    filled values, nearly all of (drug, gene), are never made.  Every drug counts; the driver holds
+    the network and a basis of genes.  A network too large for that is joined, and the long rows are saved.
+    """
+    weights = tables.save(graph.row_normalised(ppi), "weights")
+    net = graph.network(weights)
+    if net is None:
+        long = graph.diffuse(profiles, weights, keep, restart, rounds, tables) if restart else graph.propagate(profiles, ppi, rounds, tables)
+        return svd_embedding(tables.save(long, "filled"), "drug", "gene", "x", k)
+    spark = profiles.sparkSession
+    genes = spark.createDataFrame(pd.DataFrame({"gene": net.genes, "place": np.arange(len(net.genes), dtype=np.int32)}), "gene bigint, place int")
+    inside = profiles.select("drug", F.col("gene").cast("bigint").alias("gene"), F.col("x").cast("double").alias("x")).join(genes, "gene")
+    entries = inside.groupBy("drug").agg(F.collect_list(F.struct("place", "x")).alias("e"))  # a row's own entries
+    start = tables.save(entries.select("drug", F.col("e.place").alias("places"), F.col("e.x").alias("values")), "start")
+    schema = T.StructType([start.schema["drug"], T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    n_rows = start.count()
+    if not n_rows:
+        return spark.createDataFrame([], schema)
+    back = net.transposed()
+    reached = start.select(F.explode("places").alias("place")).distinct().toArrow().column("place").to_numpy()  # at most the genes
+    held = np.zeros((len(net.genes), 1))
+    held[reached] = 1
+    n_cols = np.count_nonzero(net.spread(held, rounds, keep, restart))
+    k = max(1, min(k, n_cols - 1, n_rows - 1))
+    axes = leading_axes(lambda z: net.spread(_gram(start, back.spread(z, rounds, keep, restart), tables), rounds, keep, restart), len(net.genes), k)
+    shared = spark.sparkContext.broadcast(back.spread(axes, rounds, keep, restart))
+
+    def embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                places, values, first = _entries(batch)
+                rows = np.add.reduceat(shared.value[places] * values[:, None], first, axis=0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]), pa.array(rows.ravel()))
+                yield pa.record_batch([batch.column("drug"), lists], names=["drug", "embedding"])
+
+    return start.mapInArrow(embedded, schema)
+
+
 def pca_embedding(vectors: DataFrame, row: str, vector: str, k: int) -> DataFrame:
     """``row, embedding``: principal components after scaling every dimension to unit deviation and centring."""
     base = vectors.select(row, array_to_vector(vector).alias("raw"))

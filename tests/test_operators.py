@@ -261,6 +261,53 @@ def test_svd_against_numpy(spark):
     assert np.allclose(got, want, atol=1e-8)
 
 
+@pytest.mark.parametrize("keep,restart,blocks", [(1.0, 0.0, 12), (0.85, 0.15, 12), (0.85, 0.15, 1)])
+def test_filled_svd_is_that_of_the_long_rows(spark, monkeypatch, keep, restart, blocks):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(reduce, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(reduce, "SPARE", 2)
+    monkeypatch.setattr(reduce, "GENES", 16)
+    ppi = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 90, (240, 2))], "gene_1 bigint, gene_2 bigint")
+    drugs = [(f"d{i:02}", int(x)) for i in range(70) for x in rng.choice(95, 1 + i % 5, replace=False)] + [("far", 200)]
+    x = graph.target_profiles(spark.createDataFrame(drugs, "drug string, gene bigint"), ppi)
+
+    def dots(df):
+        z = {r["drug"]: np.array(r["embedding"]) for r in df.collect()}
+        assert "far" not in z and len(z) > 60
+        return np.array([[z[a] @ z[b] for b in sorted(z)] for a in sorted(z)])
+
+    long = graph.diffuse(x, graph.row_normalised(ppi), keep, restart, 2, WorkTables(spark, "t"))
+    want = dots(reduce.svd_embedding(long.filter("x <> 0"), "drug", "gene", "x", 4))
+    assert np.allclose(dots(reduce.filled_svd(x, ppi, 2, 4, WorkTables(spark, "t"), keep, restart)), want, atol=1e-8)
+    monkeypatch.setattr(graph, "MAX_EDGES", 0)
+    assert np.allclose(dots(reduce.filled_svd(x, ppi, 2, 4, WorkTables(spark, "t"), keep, restart)), want, atol=1e-8)
+
+
+def test_filled_svd_of_few_rows(spark):
+    ppi = spark.createDataFrame([(1, 2), (2, 3)], "gene_1 bigint, gene_2 bigint")
+    x = graph.target_profiles(spark.createDataFrame([("a", 1), ("b", 3), ("c", 2)], "drug string, gene bigint"), ppi)
+    got = reduce.filled_svd(x, ppi, 2, 16, WorkTables(spark, "t")).collect()
+    assert sorted(r["drug"] for r in got) == ["a", "b", "c"] and {len(r["embedding"]) for r in got} == {2}
+    assert reduce.filled_svd(x.filter("gene > 3"), ppi, 2, 16, WorkTables(spark, "t")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["svd_embedding"])
+def test_svd_queries_never_fill_the_profiles(spark, data_dir, monkeypatch, name):
+    from pairlens.sources import graph_views as g
+
+    saved, save = [], WorkTables.save
+
+    def counted(self, df, *args, **kw):
+        copy = save(self, df, *args, **kw)
+        saved.append(copy.count())
+        return copy
+
+    monkeypatch.setattr(WorkTables, "save", counted)
+    got = model_queries.queries()[name](spark, data_dir)
+    bounds = g.targets(spark, data_dir).count(), 2 * g.ppi(spark, data_dir).count()
+    assert got.count() and len(saved) >= 1 and max(saved) <= max(bounds)
+
+
 def test_ridge_against_numpy(spark):
 
     rng = np.random.default_rng(1)
