@@ -291,7 +291,7 @@ def test_filled_svd_of_few_rows(spark):
     assert reduce.filled_svd(x.filter("gene > 3"), ppi, 2, 16, WorkTables(spark, "t")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["svd_embedding"])
+@pytest.mark.parametrize("name", ["svd_embedding", "diffused_svd"])
 def test_svd_queries_never_fill_the_profiles(spark, data_dir, monkeypatch, name):
     from pairlens.sources import graph_views as g
 
