@@ -159,6 +159,18 @@ def test_metrics_on_ties_and_one_class(spark):
     assert {r["g"]: r["threshold"] for r in metrics.best_f1(df, ["g"]).collect()}["tie"] == 0.5
 
 
+def test_cold_start_in_place_has_the_folds_of_cold_start(spark):
+    t = spark.createDataFrame([(f"C{i % 4 % 3}", f"d{i % 37:02}", f"e{i % 61:02}", k) for i in range(600) for k in (0, 1)] + [("few", "d01", "e01", 1)], "relation string, drug_1 string, drug_2 string, label int")
+    got = splitting.cold_start_in_place(t.withColumn("kind", F.lit("k")), ["kind", "relation"], t, WorkTables(spark, "test"))
+    want = splitting.split(t, "drug_cold_start")
+    columns = ["relation", "drug_1", "drug_2", "label", "fold"]
+    folds = sorted(tuple(r) for r in want.select(columns).collect())
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == folds and {f[-1] for f in folds} == {"train", "val", "test"}
+    sizes = {r["relation"]: r["count"] for r in t.groupBy("relation").count().collect()}
+    assert {(r["relation"], r["group_size"]) for r in got.collect()} == set(sizes.items())
+    assert splitting.cold_start_in_place(t.limit(0), ["relation"], t.limit(0), WorkTables(spark, "test")).count() == 0
+
+
 def test_quartiles_and_std(spark):
     meta = spark.createDataFrame([("a", 1, 1.0), ("b", 2, 2.0), ("c", 3, 3.0), ("d", 10, 10.0)], "relation string, n int, m double")
     assert {r["relation"]: r["size_bin"] for r in metrics.quartile_strata(meta, "n", "m").collect()} == {"a": "very_low", "b": "low", "c": "medium", "d": "high"}
